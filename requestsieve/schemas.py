@@ -3,13 +3,25 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+    "MAP<STRING,STRING>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from "name TYPE, ..."; unlike DDL parsing it needs no running session."""
+    pairs = [column.split() for column in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_REQUEST = _struct(
     "request_id BIGINT, ts_ms BIGINT, method STRING, url STRING, "
-    "headers MAP<STRING, STRING>, cf_country STRING, cf_tls_version STRING"
+    "headers MAP<STRING,STRING>, cf_country STRING, cf_tls_version STRING"
 )
 
 SIGNALS = _struct(
