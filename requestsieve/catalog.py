@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from requestsieve.functions.heuristics import (
     heuristic_score,
@@ -45,6 +46,8 @@ from requestsieve.operators.reputation import (
 from requestsieve.plans import analytics, cascade
 from requestsieve.session import shared_folder
 from requestsieve.sources import log, requests, samples, stores
+from requestsieve.streaming import jobs
+from requestsieve.streaming.tracker import track_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -426,6 +429,74 @@ def top_bot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("share", F.round("share", 6))
 
 
+# --- streams ----------------------------------------------------------------------------
+
+# The sample timeline in three parts, streamed one after the other with restarts between.
+SLICES = (samples.START_MS + 10 * 86_400_000, samples.START_MS + 20 * 86_400_000, NOW)
+
+
+def _run_in_slices(
+    rows: DataFrame, path: str, start: Callable[[DataFrame], DataStreamWriter]
+) -> None:
+    """Append one slice at a time to the source folder and let the stream catch up."""
+    spark = rows.sparkSession
+    since = samples.START_MS
+    for until in SLICES:
+        part = rows.filter((F.col("ts_ms") >= since) & (F.col("ts_ms") < until))
+        part.write.mode("append").parquet(path)
+        source = spark.readStream.schema(rows.schema).parquet(path)
+        jobs.drain(spark, start(source))
+        since = until
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and sessions from keyed state, over three runs of one stream."""
+    folder = shared_folder(spark, "stream-sessions")
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return (
+            track_stream(source)
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+        )
+
+    _run_in_slices(samples.requests_in(spark, sf_dir), f"{folder}/in", start)
+    return spark.read.parquet(f"{folder}/out").select(
+        "request_id", "ip", "rate", "session_start", "hits", "is_miss"
+    )
+
+
+def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade as a stream, matched with a fixed index."""
+    folder = shared_folder(spark, "stream-classify")
+    first = samples.responses(spark, sf_dir)
+    second = samples.responses(spark, sf_dir, secondary=True)
+    prints = sample_fingerprints(spark, sf_dir)
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return jobs.classify_stream(
+            source, f"{folder}/out", f"{folder}/checkpoint", first, second, prints
+        )
+
+    rows = _keyed(spark, sf_dir, samples.requests_in(spark, sf_dir))
+    _run_in_slices(rows, f"{folder}/in", start)
+    return log.read_log(spark, f"{folder}/out/log").select(
+        "request_id", "ip", F.round("score", 6).alias("score"), "class", "source"
+    )
+
+
+def stream_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboard views over tallies that a stream keeps up to date."""
+    folder = shared_folder(spark, "stream-analytics")
+
+    def start(source: DataFrame) -> DataStreamWriter:
+        return jobs.tally_stream(source, f"{folder}/out", f"{folder}/checkpoint")
+
+    _run_in_slices(samples.log_in(spark, sf_dir), f"{folder}/in", start)
+    return analytics.bundle_rows(jobs.live_bundle(spark, f"{folder}/out", HOURS, NOW))
+
+
 QUERIES: dict[str, Query] = {
     "read_requests": read_requests,
     "classifiable_requests": classifiable_requests,
@@ -473,4 +544,7 @@ QUERIES: dict[str, Query] = {
     "recent_display": _over(analytics.recent_display, recent),
     "timeline_labels": _over(analytics.timeline_labels, _ranged(analytics.timeline)),
     "country_chart": _over(analytics.country_chart, _ranged(analytics.by_country)),
+    "stream_sessions": stream_sessions,
+    "stream_classify": stream_classify,
+    "stream_analytics": stream_analytics,
 }

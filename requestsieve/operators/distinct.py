@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from requestsieve.session import durable
+
 
 def per_distinct(
     rows: DataFrame,
@@ -15,13 +17,15 @@ def per_distinct(
     """Left-join `compute(distinct keys)` back to `rows` on `key`.
 
     `compute` gets one column of distinct non-NULL keys and returns it with result columns,
-    at most one row per key. Rows with a NULL key get NULL results.
+    at most one row per key. Rows with a NULL key get NULL results. The results are kept on
+    reliable storage, so neither a retry nor a later stage computes them again. `rows` is read
+    twice, so it should be cheap to read.
 
     A key shared by very many rows makes a large partition on the `rows` side only, which
     Spark's skew-join handling splits, as the other side has one row per key. NULL keys would
     all meet in one partition too, so they are replaced by distinct texts that match nothing.
     """
-    results = compute(rows.filter(F.col(key).isNotNull()).select(key).distinct())
+    results = durable(compute(rows.filter(F.col(key).isNotNull()).select(key).distinct()))
     no_match = F.concat(F.lit("\u0000none:"), F.col(unique_id).cast("string"))
     keyed = rows.withColumn("_join_key", F.coalesce(F.col(key).cast("string"), no_match))
     results = results.withColumn("_join_key", F.col(key).cast("string")).drop(key)

@@ -18,7 +18,6 @@ from requestsieve.functions.verdicts import (
     normalize_response,
 )
 from requestsieve.operators.distinct import per_distinct
-from requestsieve.session import durable
 from requestsieve.settings import DEFAULTS, Settings
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -28,10 +27,9 @@ Model = DataFrame | Scorer
 def score_distinct_prompts(rows: DataFrame, scorer: Scorer) -> DataFrame:
     """Add `response` to rows with a `prompt`; each distinct prompt is sent once.
 
-    Answers are kept on reliable storage, so no retry of a later stage asks a model again.
     Rows whose prompt is NULL ask nothing.
     """
-    return per_distinct(rows, "prompt", lambda prompts: durable(scorer(prompts)))
+    return per_distinct(rows, "prompt", scorer)
 
 
 def _ask(rows: DataFrame, model: Model, asks: Column, name: str) -> DataFrame:

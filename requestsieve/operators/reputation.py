@@ -74,10 +74,9 @@ def slot_columns(slots: DataFrame) -> DataFrame:
 
 def cache_sessions(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per request: `rate`, `session_start`, `hits` (1 on a miss, +1 per hit), `is_miss`."""
-    minutes = durable(minute_activity(requests))
-    slots = slot_columns(session_minutes(minutes, settings))
-    ranking = spread_for_ranking(requests, minutes, settings)
-    return drop_blocks(with_session_hits(rank_rows(ranking, slots)))
+    slots = durable(session_minutes(minute_activity(requests), settings))
+    ranking = spread_for_ranking(requests, slots, settings)
+    return drop_blocks(with_session_hits(rank_rows(ranking, slot_columns(slots))))
 
 
 def active_reputation(

@@ -279,8 +279,8 @@ LEFT JOIN ranged r ON r.source = s.source GROUP BY s.source"""
 TOP_IPS = """
 SELECT ip, count(*) AS hits FROM ranged WHERE class = 'BOT' GROUP BY ip
 ORDER BY hits DESC, ip LIMIT 10"""
-BOT_LEGIT = """sum(CASE WHEN class = 'BOT' THEN 1 ELSE 0 END) AS bot,
-  sum(CASE WHEN class = 'LEGITIMATE' THEN 1 ELSE 0 END) AS legit"""
+BOT_LEGIT = """CAST(sum(CASE WHEN class = 'BOT' THEN 1 ELSE 0 END) AS BIGINT) AS bot,
+  CAST(sum(CASE WHEN class = 'LEGITIMATE' THEN 1 ELSE 0 END) AS BIGINT) AS legit"""
 
 
 def _by_country(source: str) -> str:
@@ -400,7 +400,8 @@ SELECT request_id, concat_ws(' | ', 'ua:' || user_agent, 'path:' || path,
   'headers:' || header_keys) AS signal_text
 FROM rated""",
     "fingerprint_topk": f"""WITH {VECTORS}
-SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM ranked WHERE rank <= 3""",
+SELECT query_id, id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank
+FROM ranked WHERE rank <= 3""",
     "vector_verdict": f"""WITH {VECTORS}
 SELECT query_id, match_id, round(score, 6) AS score, class, source, reason FROM vector_hits""",
     "heuristic_score": f"WITH {DENSE_RATED}, {POINTS} SELECT request_id, points AS score FROM scored",
@@ -409,7 +410,8 @@ SELECT request_id, points / 100.0::DOUBLE AS score, 'BOT' AS class, 'HEURISTIC'
 FROM scored WHERE points >= 70""",
     "rule_hits": f"WITH {DENSE_RATED}, {POINTS} "
     + " UNION ALL ".join(
-        f"SELECT '{rule}' AS rule, sum({rule}) AS hits, {points} * sum({rule}) AS points FROM points"
+        f"SELECT '{rule}' AS rule, CAST(sum({rule}) AS BIGINT) AS hits, "
+        f"CAST({points} * sum({rule}) AS BIGINT) AS points FROM points"
         for rule, points in (
             ("bot_agent", 50),
             ("empty_agent", 40),
@@ -490,3 +492,10 @@ SELECT CAST(hour AS VARCHAR) || ':00' AS hour, bot AS "Bot", legit AS "Legitimat
     "country_chart": f"""WITH {LOGGED}
 SELECT country, bot AS "Bot", legit AS "Legitimate" FROM ({_by_country('ranged')})""",
 }
+
+# A stream must give what the batch gives.
+ORACLES["stream_sessions"] = f"""WITH {REQUESTS_IN}, {_rated("requests_in")}, {_sessions("rated")}
+SELECT request_id, ip, rate, session_start, hits, is_miss FROM sessions"""
+ORACLES["stream_classify"] = f"""WITH {REQUESTS_IN}, {_classified("requests_in")}
+SELECT request_id, ip, round(score, 6) AS score, class, source FROM classified"""
+ORACLES["stream_analytics"] = ORACLES["analytics_bundle"]

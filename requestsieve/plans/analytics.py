@@ -138,19 +138,26 @@ def recent(log: DataFrame) -> DataFrame:
     return log.orderBy(F.desc("ts_ms"), F.desc("request_id")).limit(RECENT_ROWS)
 
 
+def counting_views(counted: DataFrame, bots: DataFrame) -> dict[str, DataFrame]:
+    """All views but `recent`, from rows that stand for `n` requests each.
+
+    `counted` has hour, class, source, country; `bots` has ip and only BOT rows.
+    """
+    return {
+        "total": _total(counted),
+        "breakdown": _breakdown(counted, "class", CLASSES),
+        "source_breakdown": _breakdown(counted, "source", SOURCES),
+        "top_bot_ips": _top_ips(bots),
+        "by_country": _by_country(counted),
+        "timeline": _timeline(counted),
+    }
+
+
 def analytics_bundle(log: DataFrame, hours: int, now_ms: int) -> dict[str, DataFrame]:
     """Every view of the dashboard."""
     ranged = in_range(log, hours, now_ms)
-    tallied = tally(ranged)
-    return {
-        "total": _total(tallied),
-        "breakdown": _breakdown(tallied, "class", CLASSES),
-        "source_breakdown": _breakdown(tallied, "source", SOURCES),
-        "top_bot_ips": top_bot_ips(log, hours, now_ms),
-        "by_country": _by_country(tallied),
-        "timeline": _timeline(tallied),
-        "recent": recent(log),
-    }
+    bots = _counted(ranged.filter(F.col("class") == "BOT"))
+    return counting_views(tally(ranged), bots) | {"recent": recent(log)}
 
 
 def bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:

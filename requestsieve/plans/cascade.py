@@ -1,9 +1,10 @@
 """Batch classification of requests, cheapest stage first.
 
-1. Track: rank rows per (ip, minute) and find cache sessions (one shuffle of the rows).
-2. Resolve the misses only, one per session: fingerprint, heuristics, model, second model.
-3. Carry each session's verdict to its hits, by way of the small per-minute table, on the
-   partitioning of step 1. Spark reads that shuffle's files again instead of shuffling twice.
+1. Find cache sessions on the small per-minute table, which partial aggregation makes.
+2. Rank rows per (ip, minute) to get at the misses, one per session, and keep those.
+3. Resolve only the misses: fingerprint, heuristics, model, second model.
+4. Carry each session's verdict to its hits by way of the per-minute table, on the same
+   partitioning that ranks the rows: the rows are shuffled once for rate, session and verdict.
 """
 
 from collections.abc import Callable
@@ -122,9 +123,8 @@ class Tracked:
 
 
 def track(requests: DataFrame, settings: Settings = DEFAULTS) -> Tracked:
-    minutes = durable(minute_activity(requests))
-    slots = session_minutes(minutes, settings)
-    ranking = spread_for_ranking(requests, minutes, settings)
+    slots = durable(session_minutes(minute_activity(requests), settings))
+    ranking = spread_for_ranking(requests, slots, settings)
     rows = with_session_hits(rank_rows(ranking, slot_columns(slots)))
     return Tracked(rows, slots, ranking)
 
@@ -166,7 +166,7 @@ def classify(
     Adds minute, rate, session_start, hits, is_miss, score, class, source, reason.
     """
     tracked = track(requests, settings)
-    misses = drop_blocks(tracked.rows).filter("is_miss")
+    misses = durable(drop_blocks(tracked.rows).filter("is_miss"))
     return carry_verdict(tracked, resolve(misses, primary, secondary, fingerprints, settings))
 
 
@@ -192,11 +192,8 @@ def write_outputs(
     """
     tracked = track(requests, settings)
     storing = replace(fingerprints, keep_vectors=True)
-    misses = durable(
-        resolve(
-            drop_blocks(tracked.rows).filter("is_miss"), primary, secondary, storing, settings
-        )
-    )
+    misses = durable(drop_blocks(tracked.rows).filter("is_miss"))
+    misses = durable(resolve(misses, primary, secondary, storing, settings))
     append_log(carry_verdict(tracked, misses), f"{folder}/log")
 
     # A session's last touch is known per session, so the rows are not read again.

@@ -12,10 +12,6 @@ REQUIRED_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# Only this state store supports transformWithState.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)

@@ -1,0 +1,127 @@
+"""Per-client state of a request stream: rate windows and the reputation session.
+
+Whether a request hits the cache depends on times alone, so the state holds no verdict.
+Time follows arrival: no watermark, so no late row is dropped, and state that nobody touches
+times out by processing time. A group is one client's part of one micro-batch; the source's
+admission limit (`maxFilesPerTrigger` or alike) bounds it.
+"""
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from requestsieve.functions.signals import MINUTE_MS
+from requestsieve.settings import DEFAULTS, Settings
+
+TRACK_COLUMNS = [
+    T.StructField("minute", T.LongType()),
+    T.StructField("rate", T.LongType()),
+    T.StructField("session_start", T.LongType()),
+    T.StructField("hits", T.LongType()),
+    T.StructField("is_miss", T.BooleanType()),
+]
+
+# The live rate windows are three lists of one length: minute, count, expiry.
+STATE = T.StructType(
+    [
+        T.StructField("last_seen", T.LongType()),
+        T.StructField("session_start", T.LongType()),
+        T.StructField("hits", T.LongType()),
+        T.StructField("minutes", T.ArrayType(T.LongType())),
+        T.StructField("counts", T.ArrayType(T.LongType())),
+        T.StructField("expiries", T.ArrayType(T.LongType())),
+    ]
+)
+
+Windows = dict[int, tuple[int, int]]
+
+
+def rate_ordinals(
+    times: np.ndarray, windows: Windows, settings: Settings = DEFAULTS
+) -> tuple[np.ndarray, Windows]:
+    """Ordinals of sorted `times` within their minutes, and the windows still alive after.
+
+    A window lives two minutes from its first request; one that is over counts from 1 again.
+    """
+    windows = dict(windows)
+    minutes, starts, sizes = np.unique(times // MINUTE_MS, return_index=True, return_counts=True)
+    rates = np.empty(len(times), dtype=np.int64)
+    for minute, start, size in zip(minutes.tolist(), starts.tolist(), sizes.tolist()):
+        first = int(times[start])
+        count, expiry = windows.get(minute, (0, -1))
+        if expiry < first:
+            count, expiry = 0, first + settings.rate_window_ttl_ms
+        rates[start : start + size] = np.arange(count + 1, count + size + 1)
+        windows[minute] = (count + size, expiry)
+    now = int(times[-1])
+    return rates, {m: w for m, w in windows.items() if w[1] >= now}
+
+
+def session_columns(
+    times: np.ndarray, stored: tuple[int, int, int] | None, settings: Settings = DEFAULTS
+) -> tuple[dict[str, np.ndarray], tuple[int, int, int]]:
+    """Session columns of sorted `times`, and (last_seen, session_start, hits) after them."""
+    ttl = settings.reputation_ttl_ms
+    last_seen, start, hits = stored if stored is not None else (int(times[0]) - ttl, 0, 0)
+    seen = np.maximum(times, last_seen)
+    previous = np.concatenate([[last_seen], seen[:-1]])
+
+    is_miss = times - previous >= ttl
+    positions = np.arange(len(times))
+    opened = np.maximum.accumulate(np.where(is_miss, positions, -1))
+    in_new = opened >= 0
+    starts = np.where(in_new, times[np.maximum(opened, 0)], start)
+    counts = np.where(in_new, positions - opened + 1, hits + positions + 1)
+    after = (int(seen[-1]), int(starts[-1]), int(counts[-1]))
+    return {"session_start": starts, "hits": counts, "is_miss": is_miss}, after
+
+
+def tracker(columns: list[str], settings: Settings) -> Callable:
+    def track(
+        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(parts), ignore_index=True)
+        batch = batch.sort_values(["ts_ms", "request_id"], kind="stable", ignore_index=True)
+        times = batch["ts_ms"].to_numpy(dtype=np.int64)
+
+        stored, windows = None, {}
+        if state.exists:
+            last_seen, start, hits, minutes, counts, expiries = state.get
+            stored = (last_seen, start, hits)
+            windows = {m: (c, e) for m, c, e in zip(minutes, counts, expiries)}
+        rates, windows = rate_ordinals(times, windows, settings)
+        sessions, after = session_columns(times, stored, settings)
+
+        live = sorted(windows.items())
+        state.update(
+            (
+                *after,
+                [m for m, _ in live],
+                [int(w[0]) for _, w in live],
+                [int(w[1]) for _, w in live],
+            )
+        )
+        # An hour after its last touch an entry decides nothing any more. The processing
+        # clock only frees state; hits and expiry are judged by the requests' own times.
+        state.setTimeoutDuration(settings.reputation_ttl_ms)
+        yield batch[columns].assign(minute=times // MINUTE_MS, rate=rates, **sessions)
+
+    return track
+
+
+def track_stream(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """A stream of signals with minute, rate, session_start, hits and is_miss added."""
+    return requests.groupBy("ip").applyInPandasWithState(
+        tracker(requests.columns, settings),
+        outputStructType=T.StructType([*requests.schema.fields, *TRACK_COLUMNS]),
+        stateStructType=STATE,
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+    )
