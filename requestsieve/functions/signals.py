@@ -12,7 +12,24 @@ MINUTE_MS = 60_000
 
 
 def normalize_headers(headers: Column) -> Column:
-    """Lower-case names; values of names that differ only in case are joined with ', '."""
+    """Lower-case names; values of names that differ only in case are joined with ', '.
+
+    Most header maps are lower-case already, and nearly all others have no such names, so the
+    pairwise work is left to the rest.
+    """
+    names_text = F.array_join(F.map_keys(headers), ",")
+    lowered = F.transform(F.map_keys(headers), F.lower)
+    return (
+        F.when(names_text == F.lower(names_text), headers)
+        .when(
+            F.size(F.array_distinct(lowered)) == F.size(headers),
+            F.transform_keys(headers, lambda name, _: F.lower(name)),
+        )
+        .otherwise(_merge_headers(headers))
+    )
+
+
+def _merge_headers(headers: Column) -> Column:
     entries = F.map_entries(headers)
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
 

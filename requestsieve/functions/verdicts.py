@@ -1,6 +1,8 @@
 """Model answers: prompt text, normalisation, fallback and confidence."""
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from requestsieve.functions.text import to_fixed, true_false
@@ -51,50 +53,73 @@ def build_prompt() -> Column:
     )
 
 
-def _json_type(document: Column, path: str) -> Column:
-    """Type name of one member; NULL if it is absent."""
-    return F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+# Names of the numeric variant types, as Spark reports them.
+_NUMBER_TYPES = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
-def normalize_response(response: Column, fallback_reason: str) -> Column:
-    """A verdict from model text.
+def with_model_verdict(
+    rows: DataFrame, text: str, name: str, fallback_reason: str, where: Column | None = None
+) -> DataFrame:
+    """Add `name`, the verdict in the model's answer `text`; NULL where `where` fails.
 
     The JSON runs from the first '{' to the next '}'. Without one, or if it is not strict
     JSON, the verdict is the fallback.
-    """
-    braces = F.nullif(F.regexp_extract(response, r"\{[^}]*\}", 0), F.lit(""))
-    document = F.try_parse_json(braces)
 
-    claimed = F.when(
-        _json_type(document, "$.class") == "STRING",
-        F.try_variant_get(document, "$.class", "string"),
+    Each answer is parsed once: the document and its members are columns of their own, and the
+    verdict comes out of a one-element generator, because a filter on a plain column would be
+    pushed below it and repeat the work.
+    """
+    wanted = F.lit(True) if where is None else where
+    braces = F.nullif(F.regexp_extract(F.when(wanted, F.col(text)), r"\{[^}]*\}", 0), F.lit(""))
+    parsed = rows.withColumn("_answer_wanted", wanted).withColumn(
+        "_answer_json", F.try_parse_json(braces)
     )
-    cls = F.when(claimed.isin(*CLASSES), claimed).otherwise("SUSPICIOUS")
 
-    is_number = _json_type(document, "$.score").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    number = F.try_variant_get(document, "$.score", "double")
-    score = F.when(
-        is_number, F.when(number < 0.0, 0.0).when(number > 1.0, 1.0).otherwise(number)
-    ).otherwise(0.5)
-
-    reason_type = _json_type(document, "$.reason")
-    reason_text = F.try_variant_get(document, "$.reason", "string")
-    is_falsy = (
-        reason_type.isNull()
-        | (reason_type == "VOID")
-        | ((reason_type == "BOOLEAN") & (reason_text == "false"))
-        | (
-            reason_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-            & (F.try_variant_get(document, "$.reason", "double") == 0.0)
-        )
+    def member(key: str) -> Column:
+        return F.try_variant_get("_answer_json", f"$.{key}", "variant")
+
+    keys = ("class", "score", "reason")
+    members = parsed.withColumns({f"_answer_{key}": member(key) for key in keys})
+    typed = members.withColumns(
+        {f"_answer_{key}_type": F.schema_of_variant(f"_answer_{key}") for key in keys}
     )
-    # Arrays do not cast to text, so they keep their JSON form. An object cannot occur here.
-    as_json = F.to_json(F.try_variant_get(document, "$.reason", "variant"))
-    reason = F.when(is_falsy, "").otherwise(F.coalesce(reason_text, as_json))
 
-    return F.when(document.isNotNull(), verdict(score, cls, "AI", reason)).otherwise(
-        verdict(F.lit(0.5), F.lit("SUSPICIOUS"), "AI", F.lit(fallback_reason))
+    def value(key: str, kind: str) -> Column:
+        return F.try_variant_get(f"_answer_{key}", "$", kind)
+
+    is_text = F.col("_answer_class_type") == "STRING"
+    is_number = F.col("_answer_score_type").rlike(_NUMBER_TYPES)
+    typed = typed.withColumns(
+        {
+            "_answer_claimed": F.when(is_text, value("class", "string")),
+            "_answer_number": F.when(is_number, value("score", "double")),
+        }
     )
+    claimed, number = F.col("_answer_claimed"), F.col("_answer_number")
+    score = (
+        F.when(number.isNull(), 0.5)
+        .when(number < 0.0, 0.0)
+        .when(number > 1.0, 1.0)
+        .otherwise(number)
+    )
+    cls = F.when(claimed.isin(*CLASSES), claimed).otherwise("SUSPICIOUS")
+    found = verdict(score, cls, "AI", _reason_text(value))
+    fallback = verdict(F.lit(0.5), F.lit("SUSPICIOUS"), "AI", F.lit(fallback_reason))
+    parsed_or_not = F.when(F.col("_answer_json").isNotNull(), found).otherwise(fallback)
+    verdicts = F.when(F.col("_answer_wanted"), parsed_or_not)
+    kept = [c for c in rows.columns if c != name]
+    return typed.select(*kept, F.explode(F.array(verdicts)).alias(name))
+
+
+def _reason_text(value: Callable[[str, str], Column]) -> Column:
+    """The reason as text; missing, null, false, zero and empty ones are the empty text."""
+    kind = F.col("_answer_reason_type")
+    is_zero = kind.rlike(_NUMBER_TYPES) & (value("reason", "double") == 0.0)
+    is_false = (kind == "BOOLEAN") & ~value("reason", "boolean")
+    nothing = kind.isNull() | (kind == "VOID") | is_zero | is_false
+    # Lists do not cast to text, so they keep their JSON form. An object cannot occur here.
+    as_text = F.coalesce(value("reason", "string"), F.to_json("_answer_reason"))
+    return F.when(kind == "STRING", value("reason", "string")).when(nothing, "").otherwise(as_text)
 
 
 def is_low_confidence(score: Column, settings: Settings = DEFAULTS) -> Column:

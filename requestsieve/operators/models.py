@@ -15,7 +15,7 @@ from requestsieve.functions.verdicts import (
     build_prompt,
     escalated,
     is_low_confidence,
-    normalize_response,
+    with_model_verdict,
 )
 from requestsieve.operators.distinct import per_distinct
 from requestsieve.settings import DEFAULTS, Settings
@@ -56,33 +56,23 @@ def model_verdicts(
 
     The second model, if there is one, sees only rows the first is unsure about.
     """
-    rows = _ask(rows, primary, unresolved, "_primary_text").withColumn(
-        "ai",
-        F.when(unresolved, normalize_response(F.col("_primary_text"), PRIMARY_UNAVAILABLE)),
-    )
+    rows = _ask(rows, primary, unresolved, "_primary_text")
+    rows = with_model_verdict(rows, "_primary_text", "ai", PRIMARY_UNAVAILABLE, unresolved)
     if secondary is not None:
         unsure = F.coalesce(is_low_confidence(F.col("ai.score"), settings), F.lit(False))
-        rows = _ask(rows, secondary, unsure, "_secondary_text").withColumn(
-            "ai",
-            F.when(
-                unsure,
-                escalated(
-                    F.col("ai"),
-                    normalize_response(F.col("_secondary_text"), SECONDARY_UNAVAILABLE),
-                    settings,
-                ),
-            ).otherwise(F.col("ai")),
-        )
-    return rows.drop("_primary_text", "_secondary_text")
+        rows = _ask(rows, secondary, unsure, "_secondary_text")
+        rows = with_model_verdict(
+            rows, "_secondary_text", "_second", SECONDARY_UNAVAILABLE, unsure
+        ).withColumn("ai", escalated(F.col("ai"), F.col("_second"), settings))
+    return rows.drop("_primary_text", "_secondary_text", "_second")
 
 
 def normalize_responses(
     responses: DataFrame, fallback_reason: str = PRIMARY_UNAVAILABLE
 ) -> DataFrame:
     """One verdict per stored answer."""
-    return responses.select(
-        "request_id", normalize_response(F.col("response"), fallback_reason).alias("v")
-    ).select("request_id", "v.*")
+    verdicts = with_model_verdict(responses, "response", "verdict", fallback_reason)
+    return verdicts.select("request_id", "verdict.*")
 
 
 def escalate(

@@ -99,18 +99,18 @@ def resolve(
     Models are asked only about rows that the earlier stages leave open.
     """
     staged = vector_stage(misses, fingerprints, settings).withColumn(
-        "_score", heuristic_score(settings)
+        "_points", heuristic_score(settings)
     )
-    open_rows = F.col("vector_verdict").isNull() & (F.col("_score") < settings.bot_score)
+    open_rows = F.col("vector_verdict").isNull() & (F.col("_points") < settings.bot_score)
     answered = model_verdicts(staged, open_rows, primary, secondary, settings)
     return answered.withColumn(
         "verdict",
         F.coalesce(
             F.col("vector_verdict"),
-            heuristic_verdict(F.col("_score"), settings).cast(VERDICT_TYPE),
+            heuristic_verdict(F.col("_points"), settings).cast(VERDICT_TYPE),
             F.col("ai"),
         ),
-    ).drop("vector_verdict", "_score", "ai")
+    ).drop("vector_verdict", "_points", "ai")
 
 
 @dataclass(frozen=True)
