@@ -45,6 +45,7 @@ from requestsieve.operators.reputation import (
 )
 from requestsieve.plans import analytics, cascade
 from requestsieve.session import shared_folder
+from requestsieve.settings import Settings
 from requestsieve.sources import log, requests, samples, stores
 from requestsieve.streaming import jobs
 from requestsieve.streaming.tracker import track_stream
@@ -473,10 +474,11 @@ def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = samples.responses(spark, sf_dir)
     second = samples.responses(spark, sf_dir, secondary=True)
     prints = sample_fingerprints(spark, sf_dir)
+    replay = Settings(verdict_span_ms=86_400_000)
 
     def start(source: DataFrame) -> DataStreamWriter:
         return jobs.classify_stream(
-            source, f"{folder}/out", f"{folder}/checkpoint", first, second, prints
+            source, f"{folder}/out", f"{folder}/checkpoint", first, second, prints, replay
         )
 
     rows = _keyed(spark, sf_dir, samples.requests_in(spark, sf_dir))

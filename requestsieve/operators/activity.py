@@ -72,7 +72,8 @@ def spread_for_ranking(
 ) -> Ranking:
     """Leave ordinary minutes whole; cut hot ones into ordered blocks.
 
-    `minutes` must be materialised: it is asked for its hot rows first.
+    `minutes` has `n` per (ip, minute), of the hot ones at least, and must be materialised: it
+    is asked for its hot rows first.
     """
     requests = requests.withColumn("minute", minute_bucket(F.col("ts_ms")))
     hot_minutes = minutes.filter(F.col("n") > settings.hot_rows).select(*MINUTE_KEY)
@@ -171,5 +172,6 @@ def drop_blocks(ranked: DataFrame) -> DataFrame:
 
 def request_rate(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add `minute` and `rate`, the 1-based ordinal of each request in its (ip, minute)."""
-    minutes = durable(minute_activity(requests))
-    return drop_blocks(rank_rows(spread_for_ranking(requests, minutes, settings)))
+    # Only the hot minutes are kept; they are all that ranking needs to know beforehand.
+    hot = durable(window_counts(requests).filter(F.col("n") > settings.hot_rows))
+    return drop_blocks(rank_rows(spread_for_ranking(requests, hot, settings)))

@@ -159,7 +159,7 @@ def _collect_small(candidates: DataFrame, settings: Settings) -> pd.DataFrame |
     most = max(1, settings.broadcast_elements // first["d"])
     if candidates.limit(most + 1).count() > most:
         return None
-    return candidates.limit(most).toPandas()
+    return candidates.limit(most).toArrow().to_pandas()
 
 
 def _search_broadcast(queries: DataFrame, index: pd.DataFrame, k: int) -> DataFrame:
@@ -184,10 +184,8 @@ def _search_broadcast(queries: DataFrame, index: pd.DataFrame, k: int) -> DataFr
 
 def _pick_pivots(candidates: DataFrame, count: int) -> np.ndarray:
     """`count` vectors spread over the index by the hash of their ids. A fixed-size list."""
-    rows = (
-        candidates.orderBy(F.xxhash64("id"), "id").limit(count).select("values").toPandas()
-    )
-    return np.unique(_unit_rows(rows["values"])[0], axis=0)
+    spread = candidates.orderBy(F.xxhash64("id"), "id").limit(count).select("values")
+    return np.unique(_unit_rows(spread.toArrow().to_pandas()["values"])[0], axis=0)
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:

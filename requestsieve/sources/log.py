@@ -22,16 +22,15 @@ def log_rows(classified: DataFrame) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append to the log, partitioned by day. Each day is written by a few tasks, not by all.
+    """Append to the log, partitioned by day.
 
-    Rows are spread over the tasks by day and by a part of the id, so a day with most of the
-    rows is not one task, and sorted by ip for skipping within files.
+    Rebalancing makes files of even size: it splits a day with most of the rows and joins up
+    small ones. Rows are sorted by ip for skipping within files.
     """
-    parts = F.pmod(F.xxhash64("request_id"), F.lit(64))
     (
         log_rows(rows)
         .withColumn("dt", log_day(F.col("ts_ms")))
-        .repartition("dt", parts)
+        .hint("rebalance", "dt")
         .sortWithinPartitions("dt", "ip", "ts_ms")
         .write.mode("append")
         .partitionBy("dt")
@@ -41,13 +40,18 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def append_log_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Append one micro-batch; writing the same batch again replaces it."""
+    dated = log_rows(rows).withColumn("dt", log_day(F.col("ts_ms")))
+    overwrite_batch(dated, path, batch_id, "dt")
+
+
+def overwrite_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    """Write the `batch_id` partitions of one micro-batch, replacing earlier attempts."""
     (
-        log_rows(rows)
-        .withColumn("dt", log_day(F.col("ts_ms")))
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt", "batch_id")
+        .partitionBy(*partitions, "batch_id")
         .parquet(path)
     )
 

@@ -1,9 +1,9 @@
 """Stored reputation entries and fingerprints."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from requestsieve.schemas import FINGERPRINT, REPUTATION
+from requestsieve.sources.log import overwrite_batch
 
 
 def write_reputation(entries: DataFrame, path: str) -> None:
@@ -20,14 +20,7 @@ def append_fingerprints(fresh: DataFrame, path: str, batch_id: int) -> None:
 
     Writing the same batch again replaces it.
     """
-    (
-        fresh.select(*FINGERPRINT.fieldNames())
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("class", "batch_id")
-        .parquet(path)
-    )
+    overwrite_batch(fresh.select(*FINGERPRINT.fieldNames()), path, batch_id, "class")
 
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:

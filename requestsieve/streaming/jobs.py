@@ -7,7 +7,7 @@ them, so the log, the carried hits and the fingerprints of a batch always agree.
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -19,13 +19,13 @@ from requestsieve.operators.reputation import SESSION_KEY
 from requestsieve.plans import analytics
 from requestsieve.plans.cascade import NO_FINGERPRINTS, Fingerprints, resolve, row_verdict
 from requestsieve.settings import DEFAULTS, Settings
-from requestsieve.sources.log import STORED, append_log_batch, log_day
+from requestsieve.sources.log import STORED, append_log_batch, log_day, overwrite_batch
 from requestsieve.sources.stores import append_fingerprints
 from requestsieve.streaming.tracker import track_stream
 
-# Sessions of a batch start on few distinct days. With more than this the days are not listed
-# in the filter, and the whole verdict table is read instead.
-MAX_DAYS = 10_000
+# Sessions of a batch started in few distinct spans. With more than this the spans are not
+# listed in the filter, and the whole verdict table is read instead.
+MAX_SPANS = 10_000
 
 VERDICTS = T.StructType(
     [
@@ -38,7 +38,7 @@ VERDICTS = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("vector", T.ArrayType(T.FloatType())),
-        T.StructField("session_day", T.DateType()),
+        T.StructField("session_span", T.LongType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
@@ -46,14 +46,8 @@ VERDICTS = T.StructType(
 TALLY_KEY = ["minute", "class", "source", "ip", "country"]
 
 
-def _overwrite_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, "batch_id")
-        .parquet(path)
-    )
+def _span(session_start: Column, settings: Settings) -> Column:
+    return F.floor(session_start / settings.verdict_span_ms)
 
 
 def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -76,32 +70,34 @@ def _write_verdicts(
     resolved = resolve(
         misses, primary, secondary, replace(fingerprints, keep_vectors=True), settings
     )
-    _overwrite_batch(
+    overwrite_batch(
         resolved.select(
             "request_id",
             *SESSION_KEY,
             "country",
             "verdict.*",
             F.col("vector").cast("array<float>").alias("vector"),
-            log_day(F.col("session_start")).alias("session_day"),
+            _span(F.col("session_start"), settings).alias("session_span"),
         ),
         path,
         batch_id,
-        "session_day",
+        "session_span",
     )
 
 
-def _known_verdicts(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """One verdict per session, from the days that sessions of this batch started on."""
+def _known_verdicts(
+    rows: DataFrame, path: str, batch_id: int, settings: Settings
+) -> DataFrame:
+    """One verdict per session, from the spans that sessions of this batch started in."""
     known = (
         rows.sparkSession.read.schema(VERDICTS)
         .parquet(path)
         .filter(F.col("batch_id") <= batch_id)
     )
-    days = rows.select(log_day(F.col("session_start"))).distinct()
-    listed = [row[0] for row in days.limit(MAX_DAYS + 1).collect()]
-    if len(listed) <= MAX_DAYS:
-        known = known.filter(F.col("session_day").isin(listed))
+    spans = rows.select(_span(F.col("session_start"), settings)).distinct()
+    listed = [row[0] for row in spans.limit(MAX_SPANS + 1).collect()]
+    if len(listed) <= MAX_SPANS:
+        known = known.filter(F.col("session_span").isin(listed))
     value = F.struct("score", "class", "source", "reason")
     return known.groupBy(*SESSION_KEY).agg(F.max_by(value, "batch_id").alias("verdict"))
 
@@ -138,7 +134,7 @@ def classify_batch(
             fingerprints,
             settings,
         )
-        known = _known_verdicts(rows, verdict_path, batch_id)
+        known = _known_verdicts(rows, verdict_path, batch_id, settings)
         decided = rows.join(known, SESSION_KEY, "left").withColumns(
             row_verdict(F.col("is_miss"), F.col("verdict"))
         )
@@ -215,7 +211,7 @@ def tally_stream(log: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
             minute_bucket(F.col("ts_ms")).alias("minute"), *TALLY_KEY[1:]
         ).agg(F.count(F.lit(1)).alias("n"))
         day = log_day(F.col("minute") * MINUTE_MS)
-        _overwrite_batch(counts.withColumn("dt", day), path, batch_id, "dt")
+        overwrite_batch(counts.withColumn("dt", day), path, batch_id, "dt")
 
     return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
