@@ -7,6 +7,7 @@ them, so the log, the carried hits and the fingerprints of a batch always agree.
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,10 +53,13 @@ def _span(session_start: Column, settings: Settings) -> Column:
 
 def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Fingerprints of earlier batches; none before the first is written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    return stored.filter(F.col("batch_id") < batch_id)
 
 
 def _write_verdicts(
