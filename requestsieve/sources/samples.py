@@ -77,13 +77,14 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_requests_from(events: DataFrame, pages: DataFrame) -> DataFrame:
     i, user = F.col("event_id"), F.col("user_id")
     agent = _agent(i)
+    forwarded = F.concat(
+        F.lit("203.0.113."), (user % 200).cast("string"), F.lit(", 10.1.1.1")
+    )
     headers = {
         "CF-Connecting-IP": F.when(i % 4 == 0, None)
         .when(i % 9 == 0, "")
         .otherwise(_user_ip(user)),
-        "x-forwarded-for": F.when(
-            i % 5 < 3, F.concat(F.lit("203.0.113."), (user % 200).cast("string"), F.lit(", 10.1.1.1"))
-        ),
+        "x-forwarded-for": F.when(i % 5 < 3, forwarded),
         "CF-IPCountry": F.when(i % 3 == 0, "GB"),
         "User-Agent": F.when(agent != "", agent),
         "user-agent": F.when(i % 11 == 0, "second/1.0"),

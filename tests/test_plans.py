@@ -59,3 +59,28 @@ def test_signals_are_narrow_and_python_free(spark):
     plan = executed(extract_signals(samples.raw_requests(spark, f"{DATA}/sf0.001")))
     assert "Python" not in plan and "Pandas" not in plan
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_a_big_day_is_written_by_many_tasks(spark):
+    path = shared_folder(spark, "test-plans")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "50KB")
+    try:
+        kinds = spark.range(0, 20_000, 1, 8).selectExpr(
+            "id AS request_id",
+            "concat('ip', id % 97) AS ip",
+            "'US' AS country",
+            "concat('/', uuid()) AS path",
+            "'ua' AS user_agent",
+            "0.5D AS score",
+            "'BOT' AS class",
+            "'AI' AS source",
+            f"CAST({NOW} + IF(id % 20 = 0, -86400000 * (id % 7), id % 1000) AS BIGINT) AS ts_ms",
+        )
+        append_log(kinds, path)
+    finally:
+        spark.conf.unset(size)
+    files = spark.read.parquet(path).select("dt", "_metadata.file_path").distinct()
+    per_day = {r.dt: r["count"] for r in files.groupBy("dt").count().collect()}
+    assert len(per_day) > 1 and max(per_day.values()) > 1
+    assert read_log(spark, path).count() == 20_000
