@@ -22,8 +22,8 @@ from requestsieve.llm.common import written
 PER_CLASS = 3000
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
-LEAST_TEXTS = 10
-LEAST_RATIO = 1.5
+LEAST_TEXTS = 5
+LEAST_RATIO = 2.0
 MOST_FEATURES = 20_000
 THRESHOLD = 0.7
 # Texts longer than this are hashed in overlapping stretches, for bounded memory.
