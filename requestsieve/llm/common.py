@@ -18,6 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose rows go to Python in batches of at most 8 MB, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def whole_text(text: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import lookup, row_key, written
+from requestsieve.llm.common import lookup, row_key, small_batches, written
 
 BYTES = 8
 MOST_BITS = 3
@@ -218,7 +218,7 @@ def classes(rows: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFrame:
 
 def _prints(docs: DataFrame) -> DataFrame:
     return written(
-        docs.select("doc_id", *row_key(), fingerprints("text").alias("fp")), "fingerprints"
+        small_batches(docs).select("doc_id", *row_key(), fingerprints("text").alias("fp")), "fingerprints"
     )
 
 

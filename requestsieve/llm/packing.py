@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import chunk_bits, running, written
+from requestsieve.llm.common import chunk_bits, running, small_batches, written
 from requestsieve.llm.tokens import parts, tokenizer
 
 CAPACITY = 4096
@@ -148,7 +148,7 @@ def pieces(
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.mapInArrow(cut, PIECES)
+    return small_batches(rows).mapInArrow(cut, PIECES)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import ROW_KEY, row_key, written
+from requestsieve.llm.common import ROW_KEY, row_key, small_batches, written
 
 WINDOW = 50
 ANCHOR = 25
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     take from each other; a null doc_id comes after all others. No rows give none.
     """
     keys = row_key()
-    texts = docs.select(
+    texts = small_batches(docs).select(
         "doc_id",
         F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("__rs_id"),
         keys[1],

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import written
+from requestsieve.llm.common import small_batches, written
 from requestsieve.llm.tokens import parts, tokenizer
 
 END = 0
@@ -168,7 +168,7 @@ def write(docs: DataFrame, folder: str, path: str, spaced: bool = True, end: int
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(write_shard, MANIFEST), "manifest")
+    return written(small_batches(ordered).mapInArrow(write_shard, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
 PLAIN = f"^(?P<line>{LINE}?)(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
@@ -154,7 +154,7 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
     return TOKENIZERS[path, spaced]
 
 
-def parts(texts: pa.Array, most_bytes: int = 4_000_000):
+def parts(texts: pa.Array, most_bytes: int = 2_000_000):
     """(first, length) of runs of texts of about `most_bytes`, for bounded memory."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import written
+from requestsieve.llm.common import small_batches, written
 
 # Labelled rows of each label that the model is fitted on.
 PER_CLASS = 3000
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 10)
         return Model(none, none.astype(float), float(np.log(share / (1 - share))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
