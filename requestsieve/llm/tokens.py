@@ -3,9 +3,12 @@
 A word's ids do not depend on what stands around it: the pre-tokenizers of these vocabularies
 never match across the places where texts are cut here. So each different word of a batch is
 looked up once, ids of plain words are kept between batches, and a text's ids are put together
-from its words'. The cache is emptied when it is full.
+from its words'. When the cache is full, words not used since it was full before are dropped.
 """
 
+import contextlib
+import ctypes
+import os
 import re
 
 import numpy as np
@@ -13,7 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS = 150_000
+# Spark runs a task on each core already; threads of the library would only hold memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+MOST_WORDS = 150_000  # in each of two generations
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
 PLAIN = f"^(?P<line>{LINE}?)(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
@@ -36,7 +42,8 @@ class WordTokenizer:
         self.spaced = spaced
         self.most_words = most_words
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _mapped(self, text: str) -> str:
         if text.isascii() and text.isprintable() and " " not in text:
@@ -47,10 +54,13 @@ class WordTokenizer:
         """Ids of one pre-token."""
         found = self.known.get(text)
         if found is None:
-            if len(self.known) > self.most_words:
-                self.known = {"": b""}
-            ids = [t.id for t in self.model.tokenize(self._mapped(text))]
-            found = self.known[text] = np.array(ids, dtype=np.uint32).tobytes()
+            found = self.older.get(text)
+            if found is None:
+                ids = [t.id for t in self.model.tokenize(self._mapped(text))] if text else []
+                found = np.array(ids, dtype=np.uint32).tobytes()
+            if len(self.known) >= self.most_words:
+                self.older, self.known = self.known, {}
+            self.known[text] = found
         return found
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -154,10 +164,18 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
     return TOKENIZERS[path, spaced]
 
 
-def parts(texts: pa.Array, most_bytes: int = 2_000_000):
+def parts(texts: pa.Array, most_bytes: int = 4_000_000):
     """(first, length) of runs of texts of about `most_bytes`, for bounded memory."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
     edges = np.flatnonzero(np.diff(group, prepend=-1)) if len(texts) else []
     for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
         yield int(a), int(b - a)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Spark keeps idle Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
