@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from requestsieve.llm.common import lookup, row_key, small_batches, written
 
@@ -66,7 +67,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * sums > last).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint(t) for t in batch], dtype="int64")

@@ -72,7 +72,8 @@ class WordTokenizer:
 
         `lead` stands before every word but one that begins a line.
         """
-        plain = pc.extract_regex(words, PLAIN)
+        pattern = PLAIN if self.spaced else PLAIN.replace(f"{LINE}?", "")
+        plain = pc.extract_regex(words, pattern)
         line, head, marks = (plain.field(k) for k in range(3))
         if lead:
             bare = pc.or_(pc.equal(line, LINE), plain.is_null())
@@ -90,7 +91,7 @@ class WordTokenizer:
             before += len(names)
         whole = [w.as_py() for w in words.take(pa.array(odd))]
         tables += self._library(
-            ["\n" + w[1:] if w.startswith(LINE) else lead + w for w in whole]
+            ["\n" + w[1:] if self.spaced and w.startswith(LINE) else lead + w for w in whole]
         )
         parts.append(np.full(len(words), len(tables)))
         parts[3][odd] = np.arange(before, before + len(odd))
