@@ -433,7 +433,8 @@ def top_bot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 # The sample timeline in three parts, streamed one after the other with restarts between.
-SLICES = (samples.START_MS + 10 * 86_400_000, samples.START_MS + 20 * 86_400_000, NOW)
+# The last one holds all that is left, rows without a time too.
+SLICES = (samples.START_MS + 10 * 86_400_000, samples.START_MS + 20 * 86_400_000, None)
 
 
 def _run_in_slices(
@@ -441,9 +442,11 @@ def _run_in_slices(
 ) -> None:
     """Append one slice at a time to the source folder and let the stream catch up."""
     spark = rows.sparkSession
-    since = samples.START_MS
+    since = None
     for until in SLICES:
-        part = rows.filter((F.col("ts_ms") >= since) & (F.col("ts_ms") < until))
+        after = F.lit(True) if since is None else ~(F.col("ts_ms") < since)
+        before = F.lit(True) if until is None else F.col("ts_ms") < until
+        part = rows.filter(F.coalesce(after, F.lit(until is None)) & F.coalesce(before, F.lit(False)))
         part.write.mode("append").parquet(path)
         source = spark.readStream.schema(rows.schema).parquet(path)
         jobs.drain(spark, start(source))
@@ -496,7 +499,8 @@ def stream_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
         return jobs.tally_stream(source, f"{folder}/out", f"{folder}/checkpoint")
 
     _run_in_slices(samples.log_in(spark, sf_dir), f"{folder}/in", start)
-    return analytics.bundle_rows(jobs.live_bundle(spark, f"{folder}/out", HOURS, NOW))
+    log = samples.log_in(spark, sf_dir)
+    return analytics.bundle_rows(jobs.live_bundle(spark, f"{folder}/out", log, HOURS, NOW))
 
 
 QUERIES: dict[str, Query] = {

@@ -19,7 +19,7 @@ from requestsieve.settings import DEFAULTS, Settings
 
 MINUTE_KEY = ["ip", "minute"]
 BLOCK_KEY = [*MINUTE_KEY, "block_ms", "block_id"]
-ID_BLOCKS = 1024
+ID_BLOCKS = 64
 
 
 def window_counts(requests: DataFrame) -> DataFrame:
@@ -94,23 +94,19 @@ def spread_for_ranking(
         .groupBy("ip", "ts_ms")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min("request_id").alias("low_id"),
-            F.max("request_id").alias("high_id"),
+            F.percentile_approx("request_id", [k / ID_BLOCKS for k in range(1, ID_BLOCKS)]).alias(
+                "id_bounds"
+            ),
         )
         .filter(F.col("n") > settings.hot_rows)
-        .select(
-            "ip",
-            "ts_ms",
-            "low_id",
-            (F.floor((F.col("high_id") - F.col("low_id")) / ID_BLOCKS) + 1).alias("id_width"),
-        )
+        .select("ip", "ts_ms", "id_bounds")
     )
     blocked = marked.join(
         _broadcast_if_small(hot_instants, settings), ["ip", "ts_ms"], "left"
     ).withColumn(
         "block_id",
-        F.coalesce(
-            F.floor((F.col("request_id") - F.col("low_id")) / F.col("id_width")), F.lit(0)
+        F.when(F.col("id_bounds").isNull(), 0).otherwise(
+            F.size(F.filter("id_bounds", lambda b: b < F.col("request_id")))
         ),
     )
     blocked = blocked.select(*requests.columns, "block_ms", "block_id")

@@ -35,7 +35,8 @@ def score_distinct_prompts(rows: DataFrame, scorer: Scorer) -> DataFrame:
 def _ask(rows: DataFrame, model: Model, asks: Column, name: str) -> DataFrame:
     """Add the model's text as column `name` where `asks` holds."""
     if isinstance(model, DataFrame):
-        answers = model.select("request_id", F.col("response").alias(name))
+        # One answer for each request, the least text, so that no row is multiplied.
+        answers = model.groupBy("request_id").agg(F.min("response").alias(name))
         return rows.join(answers, "request_id", "left").withColumn(
             name, F.when(asks, F.col(name))
         )

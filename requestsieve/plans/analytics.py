@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from requestsieve.functions.text import to_fixed
 from requestsieve.settings import CLASSES, SOURCES
+from requestsieve.sources.log import log_day
 
 HOUR_MS = 3_600_000
 DEFAULT_HOURS = 24
@@ -35,7 +36,10 @@ def since_ms(hours: int, now_ms: int) -> int:
 
 
 def in_range(log: DataFrame, hours: int, now_ms: int) -> DataFrame:
-    return log.filter(F.col("ts_ms") > since_ms(hours, now_ms))
+    """Rows after the start of the range. The day of a stored log prunes its partitions."""
+    since = since_ms(hours, now_ms)
+    ranged = log.filter(F.col("ts_ms") > since)
+    return ranged.filter(F.col("dt") >= log_day(F.lit(since))) if "dt" in log.columns else ranged
 
 
 def hour_of_day(ts_ms: Column) -> Column:

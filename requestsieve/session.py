@@ -19,10 +19,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode.
+
+    Executors of a cluster would each write a temporary folder to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if root is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = root or tempfile.mkdtemp(prefix="requestsieve-")
         context.setCheckpointDir(root)
     return root or context.getCheckpointDir()

@@ -56,14 +56,19 @@ def overwrite_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str)
     )
 
 
-def read_log(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
-    """The log, or its rows after `since_ms`; the day filter prunes partitions."""
+def read_log(
+    spark: SparkSession, path: str, since_ms: int | None = None, keep_day: bool = False
+) -> DataFrame:
+    """The log, or its rows after `since_ms`; the day filter prunes partitions.
+
+    With the day kept, the ranged views prune partitions by themselves.
+    """
     log = spark.read.schema(STORED).parquet(path)
     if since_ms is not None:
         log = log.filter(
             (F.col("dt") >= log_day(F.lit(since_ms))) & (F.col("ts_ms") > since_ms)
         )
-    return log.select(*LOG_COLUMNS)
+    return log.select(*LOG_COLUMNS, *["dt"] * keep_day)
 
 
 def log_errors() -> Column:

@@ -221,13 +221,25 @@ def tally_stream(log: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
 
 
 def live_bundle(
-    spark: SparkSession, path: str, hours: int, now_ms: int
+    spark: SparkSession, path: str, log: DataFrame, hours: int, now_ms: int
 ) -> dict[str, DataFrame]:
-    """The counting views over streamed tallies. Range edges are whole minutes."""
+    """Every view over streamed tallies, equal to the batch views for any `now_ms`.
+
+    Whole minutes come from the tallies, the minute that the range starts in from the log's own
+    rows (ts_ms filter, and one day where the log has `dt`), as do the newest rows.
+    """
     since = analytics.since_ms(hours, now_ms)
-    tallies = spark.read.parquet(path).filter(
-        (F.col("dt") >= log_day(F.lit(since))) & (F.col("minute") * MINUTE_MS >= since)
+    edge = since // MINUTE_MS
+    whole = spark.read.parquet(path).filter(
+        (F.col("dt") >= log_day(F.lit(since))) & (F.col("minute") > edge)
+    )
+    first = analytics.in_range(log, hours, now_ms).filter(F.col("ts_ms") < (edge + 1) * MINUTE_MS)
+    counts = (
+        first.withColumn("minute", minute_bucket(F.col("ts_ms")))
+        .groupBy(*TALLY_KEY)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    tallies = whole.select(*TALLY_KEY, "n").unionByName(counts)
     hourly = tallies.withColumn("hour", F.floor(F.col("minute") / 60) % 24)
     bots = tallies.filter(F.col("class") == "BOT")
-    return analytics.counting_views(hourly, bots)
+    return analytics.counting_views(hourly, bots) | {"recent": analytics.recent(log)}

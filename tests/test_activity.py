@@ -158,3 +158,11 @@ def test_upsert_keeps_the_latest_whole_value(spark):
         ("b", 0.1, "LEGITIMATE", 1, 100),
         ("c", 0.5, "SUSPICIOUS", 1, 150),
     ]
+
+
+def test_hot_instant_with_ids_over_the_whole_range(spark):
+    """Ids far apart neither overflow nor share one block."""
+    ids = [-(2**63), *range(2**62, 2**62 + 200), 2**63 - 1]
+    rows = spark.createDataFrame([(i, 1000, "a") for i in ids], "request_id long, ts_ms long, ip string")
+    ranked = request_rate(rows, HOT).orderBy("request_id").collect()
+    assert [r.rate for r in ranked] == list(range(1, len(ids) + 1))
