@@ -22,6 +22,12 @@ BLOCK_KEY = [*MINUTE_KEY, "block_ms", "block_id"]
 ID_BLOCKS = 64
 
 
+def split_trackable(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that have a client and a time, and the rest, which no window or session holds."""
+    known = F.col("ip").isNotNull() & F.col("ts_ms").isNotNull()
+    return requests.filter(known), requests.filter(~known)
+
+
 def window_counts(requests: DataFrame) -> DataFrame:
     """Requests per (ip, minute)."""
     return requests.groupBy("ip", minute_bucket(F.col("ts_ms")).alias("minute")).agg(

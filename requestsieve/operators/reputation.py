@@ -12,6 +12,7 @@ from requestsieve.operators.activity import (
     drop_blocks,
     minute_activity,
     rank_rows,
+    split_trackable,
     spread_for_ranking,
 )
 from requestsieve.session import durable
@@ -73,7 +74,11 @@ def slot_columns(slots: DataFrame) -> DataFrame:
 
 
 def cache_sessions(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Per request: `rate`, `session_start`, `hits` (1 on a miss, +1 per hit), `is_miss`."""
+    """Per request: `rate`, `session_start`, `hits` (1 on a miss, +1 per hit), `is_miss`.
+
+    Requests without ip or time have no session; `split_trackable` gives them.
+    """
+    requests, _ = split_trackable(requests)
     slots = durable(session_minutes(minute_activity(requests), settings))
     ranking = spread_for_ranking(requests, slots, settings)
     return drop_blocks(with_session_hits(rank_rows(ranking, slot_columns(slots))))

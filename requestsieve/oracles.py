@@ -478,7 +478,8 @@ UNION ALL SELECT 'breakdown', class, n, NULL, NULL FROM ({CLASS_COUNTS})
 UNION ALL SELECT 'source_breakdown', source, n, NULL, NULL FROM ({SOURCE_COUNTS})
 UNION ALL SELECT 'top_bot_ips', ip, hits, NULL, NULL FROM ({TOP_IPS})
 UNION ALL SELECT 'by_country', country, NULL, bot, legit FROM ({_by_country('ranged')})
-UNION ALL SELECT 'timeline', CAST(hour AS VARCHAR), NULL, bot, legit FROM ({TIMELINE})""",
+UNION ALL SELECT 'timeline', CAST(hour AS VARCHAR), NULL, bot, legit FROM ({TIMELINE})
+UNION ALL SELECT 'recent', CAST(request_id AS VARCHAR), ts_ms, NULL, NULL FROM ({RECENT})""",
     "top_bot_share": f"""WITH {LOGGED}
 SELECT ip, hits, round(hits::DOUBLE / max(hits) OVER () * 100.0, 6) AS share FROM ({TOP_IPS})""",
     "recent_display": f"""WITH {LOG_IN}

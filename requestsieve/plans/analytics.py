@@ -165,9 +165,10 @@ def analytics_bundle(log: DataFrame, hours: int, now_ms: int) -> dict[str, DataF
 
 
 def bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
-    """The counting views as one table (section, label, n, bot, legit).
+    """The views as one table (section, label, n, bot, legit).
 
-    One query for all of them: the shared tally is aggregated once.
+    One query for all of them: the shared tally is aggregated once. A recent row has its request
+    id as label and its time as `n`.
     """
 
     def section(name: str, label: Column, **values: Column) -> DataFrame:
@@ -186,6 +187,7 @@ def bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
         section("top_bot_ips", F.col("ip"), n=F.col("hits")),
         section("by_country", F.col("country"), **pair),
         section("timeline", F.col("hour"), **pair),
+        section("recent", F.col("request_id"), n=F.col("ts_ms")),
     ]
     rows = parts[0]
     for part in parts[1:]:

@@ -21,6 +21,7 @@ from requestsieve.operators.activity import (
     join_slots,
     minute_activity,
     rank_rows,
+    split_trackable,
     spread_for_ranking,
 )
 from requestsieve.operators.distinct import per_distinct
@@ -123,6 +124,8 @@ class Tracked:
 
 
 def track(requests: DataFrame, settings: Settings = DEFAULTS) -> Tracked:
+    """Rates and sessions of the requests that have an ip and a time."""
+    requests, _ = split_trackable(requests)
     slots = durable(session_minutes(minute_activity(requests), settings))
     ranking = spread_for_ranking(requests, slots, settings)
     rows = with_session_hits(rank_rows(ranking, slot_columns(slots)))
@@ -163,7 +166,8 @@ def classify(
 ) -> DataFrame:
     """Signals in (see `schemas.SIGNALS`), one classified row per request out.
 
-    Adds minute, rate, session_start, hits, is_miss, score, class, source, reason.
+    Adds minute, rate, session_start, hits, is_miss, score, class, source, reason. Requests
+    without ip or time cannot be classified; `split_trackable` gives them.
     """
     tracked = track(requests, settings)
     misses = durable(drop_blocks(tracked.rows).filter("is_miss"))
@@ -188,8 +192,11 @@ def write_outputs(
     """Classify and write `log`, `reputation` and `fingerprints` under a new `folder`.
 
     Every row is logged and touches its client's entry; only model verdicts become
-    fingerprints. Misses are resolved once and kept for all three.
+    fingerprints. Misses are resolved once and kept for all three. Requests without ip or time
+    go to `rejected`, so logged and rejected rows together are the input.
     """
+    _, rejected = split_trackable(requests)
+    rejected.write.mode("errorifexists").parquet(f"{folder}/rejected")
     tracked = track(requests, settings)
     storing = replace(fingerprints, keep_vectors=True)
     misses = durable(drop_blocks(tracked.rows).filter("is_miss"))

@@ -206,6 +206,17 @@ def test_outputs(spark, signals):
     ]
 
 
+def test_rows_without_client_or_time_are_rejected(spark, signals):
+    folder = shared_folder(spark, "test-rejected")
+    rows = signals([(1, 5, "a"), (2, None, "a"), (3, 7, None), (4, None, None), (5, 9, "a")])
+    cascade.write_outputs(rows, folder, answers(spark, [(1, SURE), (1, BOT)]))
+    logged = read_log(spark, f"{folder}/log").collect()
+    rejected = spark.read.parquet(f"{folder}/rejected").collect()
+    assert sorted(r.request_id for r in logged) == [1, 5]
+    assert sorted(r.request_id for r in rejected) == [2, 3, 4]
+    assert sorted(by_id(cascade.classify(rows, answers(spark, [])))) == [1, 5]
+
+
 def test_properties(spark, signals):
     rows = [(k, (k * 7919) % (6 * HOUR), f"ip{k % 11}") for k in range(300)]
     found = cascade.classify(signals(rows), always(UNSURE)).toPandas()
