@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MOST_WORDS = 150_000  # in each of two generations
+AT_ONCE = 1_000  # texts given to the library, whose results are large objects
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
 PLAIN = f"^(?P<line>{LINE}?)(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
@@ -64,8 +65,11 @@ class WordTokenizer:
         return found
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in found]
+        ids = []
+        for a in range(0, len(texts), AT_ONCE):
+            found = self.library.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
+            ids += [np.array(e.ids, dtype=np.uint32).tobytes() for e in found]
+        return ids
 
     def word_ids(self, words: pa.Array, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and their number for each word.
