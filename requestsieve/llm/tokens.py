@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 # Spark runs a task on each core already; threads of the library would only hold memory.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MOST_WORDS = 150_000  # in each of two generations
+MOST_WORDS = 100_000  # in each of two generations
 AT_ONCE = 1_000  # texts given to the library, whose results are large objects
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
@@ -47,28 +48,30 @@ class WordTokenizer:
         self.older: dict[str, bytes] = {}
 
     def _mapped(self, text: str) -> str:
-        if text.isascii() and text.isprintable() and " " not in text:
-            return text
+        if text.isascii() and text.isprintable():
+            return text.replace(" ", self.letters[ord(" ")])
         return text.encode().decode("latin-1").translate(self.letters)
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        found = self.known.get(text)
+    def _look_up(self, text: str) -> bytes:
+        """Ids of a pre-token that is not in the newer generation, which it enters."""
+        found = self.older.get(text)
         if found is None:
-            found = self.older.get(text)
-            if found is None:
-                ids = [t.id for t in self.model.tokenize(self._mapped(text))] if text else []
-                found = np.array(ids, dtype=np.uint32).tobytes()
-            if len(self.known) >= self.most_words:
-                self.older, self.known = self.known, {}
-            self.known[text] = found
+            found = _packed([t.id for t in self.model.tokenize(self._mapped(text))] if text else [])
+        if len(self.known) >= self.most_words:
+            self.older, self.known = self.known, {}
+        self.known[text] = found
         return found
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some different pre-tokens."""
+        found = list(map(self.known.get, texts))
+        return [self._look_up(t) if ids is None else ids for t, ids in zip(texts, found, strict=True)]
+
     def _library(self, texts: list[str]) -> list[bytes]:
         ids = []
         for a in range(0, len(texts), AT_ONCE):
             found = self.library.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
-            ids += [np.array(e.ids, dtype=np.uint32).tobytes() for e in found]
+            ids += [_packed(e.ids) for e in found]
         return ids
 
     def word_ids(self, words: pa.Array, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +94,7 @@ class WordTokenizer:
             column = pc.fill_null(column, "").dictionary_encode()
             names = column.dictionary.to_pylist()
             parts.append(column.indices.to_numpy().astype(np.int64) + before)
-            tables += [self._plain("\n" if n == LINE else n) for n in names]
+            tables += self._plain(["\n" if n == LINE else n for n in names])
             before += len(names)
         whole = [w.as_py() for w in words.take(pa.array(odd))]
         tables += self._library(
@@ -145,6 +148,10 @@ class WordTokenizer:
         return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def _pool(table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
     return np.frombuffer(b"".join(table), dtype=np.uint32), sizes
