@@ -148,7 +148,8 @@ def write(docs: DataFrame, folder: str, path: str, spaced: bool = True, end: int
                 ids, ends = tokens.encode(texts.slice(a, n))
                 out.write(np.insert(ids, ends, end).astype(f"<u{id_bytes}").tobytes())
                 sizes.append(np.diff(ends, prepend=0) + 1)
-            names.append(batch.column("doc_id"))
+            # A copy: the column itself would keep the whole batch, texts too.
+            names.append(pa.concat_arrays([batch.column("doc_id"), pa.array([], pa.int64())]))
         if out is None:
             return
         out.close()

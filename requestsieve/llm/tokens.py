@@ -8,6 +8,7 @@ from its words'. When the cache is full, words not used since it was full before
 
 import contextlib
 import ctypes
+import gc
 import os
 import re
 from array import array
@@ -170,8 +171,11 @@ TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 
 
 def tokenizer(path: str, spaced: bool) -> WordTokenizer:
-    """One for each Python worker, which serves many tasks."""
+    """One for each Python worker, which serves many tasks; asked for as a task begins."""
+    gc.collect()  # buffers that the worker's earlier tasks left in reference cycles
     if (path, spaced) not in TOKENIZERS:
+        # Memory of the C library's pool can be given back whole; see `give_back`.
+        pa.set_memory_pool(pa.system_memory_pool())
         TOKENIZERS[path, spaced] = WordTokenizer(path, spaced)
     return TOKENIZERS[path, spaced]
 
