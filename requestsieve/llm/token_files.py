@@ -134,7 +134,7 @@ def write(docs: DataFrame, folder: str, path: str, spaced: bool = True, end: int
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(path, spaced)
-        id_bytes = 2 if tokens.library.get_vocab_size() <= 1 << 16 else 4
+        id_bytes = 2 if tokens.n_ids <= 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         store, root = storage(folder)
         name, out = f"{shard:06d}-{uuid.uuid4().hex}", None

@@ -42,6 +42,8 @@ class WordTokenizer:
     def __init__(self, path: str, spaced: bool, most_words: int = MOST_WORDS):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        # Asked for once: the library copies its whole vocabulary to count it.
+        self.n_ids = self.library.get_vocab_size()
         self.spaced = spaced
         self.most_words = most_words
         self.letters = _byte_letters()
