@@ -12,7 +12,7 @@ from the second; per point, the fingerprints within two bits are linked to one w
 That is exact too, and grows with the list, not its square.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -202,16 +202,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
-def classes(rows: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFrame:
+def classes(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per fingerprint of `rows` (fp, __rs_id, __rs_row): number of rows, and its component's
-    least (doc_id, row hash)."""
+    least (doc_id, row hash). `links_of` takes the fingerprints with their rows and least."""
     prints = written(
         rows.groupBy("fp").agg(
             F.count(F.lit(1)).alias("rows"), F.min(F.struct("__rs_id", "__rs_row")).alias("least")
         ),
         "prints",
     )
-    edges = written(links(prints.select("fp"), most_in_list), "links")
+    edges = written(links_of(prints), "links")
     rooted = prints.join(components(prints.select("fp"), edges), "fp")
     roots = rooted.groupBy("root").agg(F.min("least").alias("first"))
     return written(rooted.join(roots, "root").select("fp", "rows", "first"), "classes")
@@ -223,6 +223,10 @@ def _prints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _classes(rows: DataFrame, most_in_list: int) -> DataFrame:
+    return classes(rows, lambda prints: links(prints.select("fp"), most_in_list))
+
+
 def near_duplicates(docs: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFrame:
     """Per row: doc_id, fingerprint and component_id, the smallest doc_id it can reach.
 
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFr
     counts as the least number there is. Repeated rows each get their row; no rows give none.
     """
     rows = _prints(docs)
-    found = lookup(rows, classes(rows, most_in_list), "fp", "rows", ["first"], F.col("__rs_row"))
+    found = lookup(rows, _classes(rows, most_in_list), "fp", "rows", ["first"], F.col("__rs_row"))
     return found.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -244,7 +248,12 @@ def keep_one(docs: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFrame:
     Rows that tie in id and text are one document.
     """
     rows = _prints(docs)
-    found = lookup(rows, classes(rows, most_in_list), "fp", "rows", ["first"], F.col("__rs_row"))
+    return first_of_class(docs, rows, _classes(rows, most_in_list))
+
+
+def first_of_class(docs: DataFrame, rows: DataFrame, found_classes: DataFrame) -> DataFrame:
+    """The rows of `docs` that are the first of their class; `rows` has their fingerprints."""
+    found = lookup(rows, found_classes, "fp", "rows", ["first"], F.col("__rs_row"))
     stays = found.filter(F.col("first") == F.struct("__rs_id", "__rs_row"))
     counted = stays.groupBy("__rs_id", "__rs_row").agg(F.count(F.lit(1)).alias("__rs_n"))
     chosen = written(counted, "stays")
