@@ -3,7 +3,8 @@
 A word's ids do not depend on what stands around it: the pre-tokenizers of these vocabularies
 never match across the places where texts are cut here. So each different word of a batch is
 looked up once, ids of plain words are kept between batches, and a text's ids are put together
-from its words'. When the cache is full, words not used since it was full before are dropped.
+from its words'. Kept words are one Arrow array beside one array of ids, about 30 bytes a word;
+when there are too many, the half used longest ago is dropped.
 """
 
 import contextlib
@@ -21,15 +22,15 @@ from tokenizers import Tokenizer
 # Spark runs a task on each core already; threads of the library would only hold memory.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MOST_WORDS = 100_000  # in each of two generations
+MOST_WORDS = 400_000  # kept between batches
 AT_ONCE = 1_000  # texts given to the library, whose results are large objects
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
-PLAIN = f"^(?P<line>{LINE}?)(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
+PLAIN = f"^(?P<line>{LINE}?)(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?#*$%&+=/~^@-]*)$"
 CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The usual byte-level alphabet: printable bytes stand for themselves, others follow 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -46,36 +47,63 @@ class WordTokenizer:
         self.n_ids = self.library.get_vocab_size()
         self.spaced = spaced
         self.most_words = most_words
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _mapped(self, text: str) -> str:
-        if text.isascii() and text.isprintable():
-            return text.replace(" ", self.letters[ord(" ")])
-        return text.encode().decode("latin-1").translate(self.letters)
-
-    def _look_up(self, text: str) -> bytes:
-        """Ids of a pre-token that is not in the newer generation, which it enters."""
-        found = self.older.get(text)
-        if found is None:
-            found = _packed([t.id for t in self.model.tokenize(self._mapped(text))] if text else [])
-        if len(self.known) >= self.most_words:
-            self.older, self.known = self.known, {}
-        self.known[text] = found
+        self.letters = byte_letters()
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        self.used, self.turn = np.zeros(0, np.int32), 0
+
+    def _mapped(self, words: list[str]) -> list[str]:
+        """The words, which hold no line end, in the byte-level alphabet."""
+        text = "\n".join(words)
+        if text.isascii():
+            return text.replace(" ", self.letters[ord(" ")]).split("\n")
+        return text.encode().decode("latin-1").translate(self.letters).split(self.letters[ord("\n")])
+
+    def _model(self, mapped: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after another, and their number for each."""
+        tokenize = self.model.tokenize
+        ids, sizes = array("I"), array("i")
+        for word in mapped:
+            found = tokenize(word) if word else ()
+            sizes.append(len(found))
+            ids.extend([t.id for t in found])
+        return np.frombuffer(ids, np.uint32), np.frombuffer(sizes, np.int32)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `_model`, of different pre-tokens without line ends, known ones from the cache."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(at.is_null())
+        if len(fresh):
+            ids, sizes = self._model(self._mapped(fresh.to_pylist()))
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = np.arange(len(self.words), len(self.words) + len(fresh))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.ids = np.concatenate([self.ids, ids])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
+        at = np.asarray(at, dtype=np.int64)
+        self.turn += 1
+        self.used[at] = self.turn
+        found = self._of(at), self.sizes[at]
+        if len(self.words) > self.most_words:
+            stay = np.sort(np.argpartition(-self.used, self.most_words // 2)[: self.most_words // 2])
+            self.ids, self.sizes = self._of(stay), self.sizes[stay]
+            self.words, self.used = self.words.take(pa.array(stay)), self.used[stay]
         return found
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of each of some different pre-tokens."""
-        found = list(map(self.known.get, texts))
-        return [self._look_up(t) if ids is None else ids for t, ids in zip(texts, found, strict=True)]
+    def _of(self, at: np.ndarray) -> np.ndarray:
+        return _gather(at, np.array([0, len(at)]), self.ids, self.sizes)[0]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        ids = []
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `_model`, by the library's own cuts."""
+        ids, sizes = array("I"), array("i")
         for a in range(0, len(texts), AT_ONCE):
-            found = self.library.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
-            ids += [_packed(e.ids) for e in found]
-        return ids
+            for found in self.library.encode_batch_fast(
+                texts[a : a + AT_ONCE], add_special_tokens=False
+            ):
+                sizes.append(len(found))
+                ids.extend(found.ids)
+        return np.frombuffer(ids, np.uint32), np.frombuffer(sizes, np.int32)
 
     def word_ids(self, words: pa.Array, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and their number for each word.
@@ -91,24 +119,29 @@ class WordTokenizer:
         else:
             head = pc.utf8_lower(head) if not self.spaced else head
         odd = np.flatnonzero(plain.is_null().to_numpy(zero_copy_only=False))
-        parts, tables = [], []
-        before = 0
-        for column in (line, head, marks):
+        line = pc.fill_null(pc.equal(line, LINE), False).to_numpy(zero_copy_only=False)
+        # Entries: none, a line end, then those of each column.
+        breaks = self._model([self.letters[ord("\n")]] if self.spaced else [])
+        pools = [breaks]
+        before = 1 + len(breaks[1])
+        which = np.zeros((len(words), 4), dtype=np.int64)
+        which[:, 0] = line if self.spaced else 0
+        for k, column in enumerate((head, marks), 1):
             column = pc.fill_null(column, "").dictionary_encode()
-            names = column.dictionary.to_pylist()
-            parts.append(column.indices.to_numpy().astype(np.int64) + before)
-            tables += self._plain(["\n" if n == LINE else n for n in names])
-            before += len(names)
+            pools.append(self._plain(column.dictionary))
+            which[:, k] = column.indices.to_numpy().astype(np.int64) + before
+            before += len(column.dictionary)
         whole = [w.as_py() for w in words.take(pa.array(odd))]
-        tables += self._library(
-            ["\n" + w[1:] if self.spaced and w.startswith(LINE) else lead + w for w in whole]
+        pools.append(
+            self._library(
+                ["\n" + w[1:] if self.spaced and w.startswith(LINE) else lead + w for w in whole]
+            )
         )
-        parts.append(np.full(len(words), len(tables)))
-        parts[3][odd] = np.arange(before, before + len(odd))
-        tables.append(b"")
-        which = np.stack(parts, axis=1).ravel()
+        which[odd, 3] = np.arange(before, before + len(odd))
+        ids = np.concatenate([p[0] for p in pools])
+        sizes = np.concatenate([[0], *[p[1] for p in pools]]).astype(np.int64)
         ends = np.arange(0, 4 * len(words) + 1, 4)
-        flat, stops = _gather(which, ends, *_pool(tables))
+        flat, stops = _gather(which.ravel(), ends, ids, sizes)
         return flat, np.diff(stops, prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,24 +179,14 @@ class WordTokenizer:
         pieces = np.split(flat, ends[:-1])
         for k in unsafe.tolist():
             head, *rest = CUT.split(texts[k].as_py())
-            found = self._library([head, *[" " + w for w in rest]])
-            pieces[k] = np.frombuffer(b"".join(found), dtype=np.uint32)
+            pieces[k] = self._library([head, *[" " + w for w in rest]])[0]
         return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
-
-
-def _pool(table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-    return np.frombuffer(b"".join(table), dtype=np.uint32), sizes
-
-
 def _gather(which, starts, ids, sizes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of entry after entry, and where each run of entries ends; empty runs may occur."""
     begins = np.cumsum(sizes) - sizes
-    own = sizes[which]
+    own = sizes[which].astype(np.int64)
     ends = np.cumsum(own)
     places = np.arange(int(own.sum())) + np.repeat(begins[which] - (ends - own), own)
     return ids[places], np.concatenate([[0], ends])[starts[1:]]
@@ -182,7 +205,7 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
     return TOKENIZERS[path, spaced]
 
 
-def parts(texts: pa.Array, most_bytes: int = 4_000_000):
+def parts(texts: pa.Array, most_bytes: int = 8_000_000):
     """(first, length) of runs of texts of about `most_bytes`, for bounded memory."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
