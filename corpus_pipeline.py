@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from requestsieve.llm import exact_dedup, mixing, packing, quality, similar
+from requestsieve.llm import exact_dedup, mixing, near_dedup, packing, quality
 from requestsieve.llm.common import documents, written
 from requestsieve.session import shared_folder
 
@@ -27,7 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs)
+    """Fingerprints of 3-word shingles within 3 bits, the operator's defaults."""
+    return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
