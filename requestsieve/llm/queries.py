@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestsieve.llm import (
+    bpe,
     exact_dedup,
+    infill,
     mixing,
     near_dedup,
     packing,
+    phrases,
     quality,
     secrets,
     sharding,
@@ -80,6 +83,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir)).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    )
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.restore(infill.transform(documents(spark, sf_dir).select("doc_id", "text")))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_near_dedup,
         op10_sharding,
+        op11_phrases,
+        op12_bpe,
+        op13_fill_in_middle,
         pipeline,
     )
 }
@@ -204,4 +241,42 @@ ORACLES = {
           CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (words // source_size)
             + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken
         FROM laid JOIN w ON laid.source IS NOT DISTINCT FROM w.source""",
+    "op11_phrases": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+        totals AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+        places AS (
+          SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        grams AS (
+          SELECT lang, m, words[i:i + m - 1] AS g
+          FROM places, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(words)),
+        f AS (
+          SELECT lang, m, g, count(*) AS a FROM grams GROUP BY lang, m, g HAVING count(*) >= 30),
+        cuts AS (
+          SELECT lang, m, g, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        scored AS (
+          SELECT c.*, x.a AS l, y.a AS r,
+            CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score
+          FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k]
+            JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+        weakest AS (
+          SELECT * FROM scored
+          QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inner_parts AS (
+          SELECT DISTINCT lang, g AS longer, a, unnest([g[i:i + z - 1] FOR i IN range(1, m - z + 2)]) AS g
+          FROM f, (SELECT unnest([2, 3]) AS z) WHERE z < m),
+        most AS (SELECT lang, g, max(a) AS most FROM inner_parts GROUP BY lang, g),
+        kept AS (
+          SELECT w.* FROM weakest w LEFT JOIN most USING (lang, g)
+          WHERE most IS NULL OR 100 * most < 80 * a),
+        ranked AS (
+          SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (
+            PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+          FROM kept)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
