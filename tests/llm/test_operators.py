@@ -21,7 +21,6 @@ from requestsieve.llm import (
     quality,
     secrets,
     sharding,
-    similar,
     substring_dedup,
     token_files,
     toxicity,
@@ -305,37 +304,6 @@ def test_near_duplicates_equal_brute_force(docs):
     assert near_dedup.keep_one(some).count() == len({c for _, c in ids.values()})
 
 
-def test_pipeline_keeps_one_of_texts_with_four_fifths_of_their_shingles(spark):
-    rng = np.random.default_rng(3)
-    texts = []
-    for g in range(12):
-        base = [f"g{g}x{i}" for i in range(150)]
-        for _ in range(8):
-            own = list(base)
-            for i in rng.choice(150, rng.integers(0, 6), replace=False):
-                own[i] = f"new{rng.integers(1 << 40)}"
-            texts.append(" ".join(["one common line at the top of every text", *own]))
-    texts += ["short text", "Short  text", "", None, "five words are one shingle"]
-
-    def own(text):
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    cut, root = [own(t) for t in texts], list(range(len(texts)))
-    for j in range(len(cut)):
-        for i in range(j):
-            if 5 * len(cut[i] & cut[j]) >= 4 * len(cut[i] | cut[j]):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    wanted = sorted(set(root))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    left = corpus_pipeline.near_duplicates(spark, docs, "")
-    assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == wanted
-    assert len(wanted) < near_dedup.keep_one(docs).count()
-    assert similar.keep_one(docs.limit(0)).count() == 0
-
-
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(300).withColumnRenamed("id", "fp")
     edges = spark.range(299).selectExpr("id as a", "id + 1 as b")
