@@ -98,6 +98,12 @@ def running(
     )
 
 
+def small_side(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """`table` to be broadcast in a join if it has at most so many (narrow) rows; else as it is,
+    for a join by shuffle. It is counted first, so it should be written."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -106,12 +112,14 @@ def lookup(
     values: Sequence[str],
     spread: Column,
     hot: int = 2000,
+    far_hint: str | None = None,
 ) -> DataFrame:
     """`rows` with the `values` that `table` has for their key (unique there, no nulls).
 
     `count` is the number of rows with a key. Keys with over 1 in `hot` of all rows are fewer
     than `hot`, so they are broadcast; the others are joined by a shuffle without hot keys.
-    `spread` deals the rows of hot keys over all tasks. `table` is read three times.
+    `spread` deals the rows of hot keys over all tasks. `table` is read three times. `far_hint`
+    fixes the kind of the second join; else Spark chooses it by size.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     often = table.filter(F.col(count) * hot > total)
@@ -123,6 +131,7 @@ def lookup(
     far = table.filter(F.col(count) * hot <= total).select(
         key, *[F.col(v).alias(f"__rs_far_{v}") for v in values], F.lit(0).alias("__rs_salt")
     )
+    far = far if far_hint is None else far.hint(far_hint)
     salt = F.when(F.col("__rs_hot"), 1 + F.pmod(F.hash(spread), F.lit(4096))).otherwise(0)
     found = (
         rows.join(F.broadcast(near), key, "left")

@@ -131,7 +131,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         {"__rs_doc": F.col("doc_id").cast("long"), "__rs_digest": text_digest()}
     )
     values = ["__rs_keep", "__rs_ties"]
-    found = lookup(keyed, groups, "__rs_digest", "__rs_size", values, F.col("__rs_doc"))
+    # Groups grow with the documents, so beyond the hot ones they are never broadcast.
+    found = lookup(
+        keyed, groups, "__rs_digest", "__rs_size", values, F.col("__rs_doc"), far_hint="merge"
+    )
     stays = F.col("__rs_ties").isNull() | F.col("__rs_doc").eqNullSafe(F.col("__rs_keep"))
     left = found.filter(stays)
     if groups.filter("__rs_ties > 1").isEmpty():

@@ -10,7 +10,7 @@ clean documents of ordinary hosts stay.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import WORD, lookup, whole_text, written
+from requestsieve.llm.common import WORD, lookup, small_side, whole_text, written
 
 WINDOW = 3
 MIN_WORDS = 50
@@ -136,14 +136,10 @@ def host_verdicts(hosts: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame
     )
 
 
-def judge(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Rows with __rs_host and __rs_failed, joined with their host's verdict.
-
-    `measured` is read twice, so it should be written. Failures are summed per task before the
-    shuffle, and large hosts' verdicts are broadcast, so a host with a third of all rows is not
-    one task. The prior is a window over one row per host.
-    """
-    hosts = written(
+def host_table(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """One row per host with its verdict, written. Failures are summed per task before the
+    shuffle, so a host with a third of all rows is not one task."""
+    return written(
         host_verdicts(
             measured.groupBy("__rs_host").agg(
                 F.count(F.lit(1)).alias("documents"),
@@ -153,6 +149,15 @@ def judge(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
         ),
         "hosts",
     )
+
+
+def judge(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """Rows with __rs_host and __rs_failed, joined with their host's verdict.
+
+    `measured` is read twice, so it should be written. Large hosts' verdicts are broadcast. The
+    prior is a window over one row per host.
+    """
+    hosts = host_table(measured, host_limit)
     values = ["shrunk_rate", "host_ok"]
     return lookup(measured, hosts, "__rs_host", "documents", values, F.col("__rs_id"))
 
@@ -182,18 +187,17 @@ def assess(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 def keep_good(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of `docs` that pass, with their own columns.
 
-    The rows are written once with their verdict, so texts are measured once and not shuffled
-    by host.
+    The rows are written once with their verdict, so texts are measured once; they are not
+    shuffled by host unless very many hosts are rejected.
     """
     rows = measure(docs).withColumns(
         {
-            "__rs_id": F.coalesce(F.col("doc_id"), F.lit(0)),
             "__rs_host": host_key(),
             "__rs_failed": base_failed(),
         }
     )
     rows = written(rows.drop("__rs_metrics"), "measured")
-    hosts = judge(rows.select("__rs_id", "__rs_host", "__rs_failed"), host_limit)
-    bad = hosts.filter(~F.col("host_ok")).select("__rs_host").distinct()
+    hosts = host_table(rows.select("__rs_host", "__rs_failed"), host_limit)
+    bad = hosts.filter(~F.col("host_ok")).select("__rs_host")
     good = rows.filter(~F.col("__rs_failed"))
-    return good.join(bad, "__rs_host", "left_anti").select(docs.columns)
+    return good.join(small_side(bad), "__rs_host", "left_anti").select(docs.columns)

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 # Spark runs a task on each core already; threads of the library would only hold memory.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MOST_WORDS = 400_000  # kept between batches
+MOST_WORDS = 200_000  # kept between batches
 AT_ONCE = 1_000  # texts given to the library, whose results are large objects
 # A line end, letters whose case and byte mapping need no context, then marks.
 LINE = "\x00"
@@ -205,7 +205,7 @@ def tokenizer(path: str, spaced: bool) -> WordTokenizer:
     return TOKENIZERS[path, spaced]
 
 
-def parts(texts: pa.Array, most_bytes: int = 8_000_000):
+def parts(texts: pa.Array, most_bytes: int = 4_000_000):
     """(first, length) of runs of texts of about `most_bytes`, for bounded memory."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes

@@ -158,8 +158,8 @@ def mined(rows, least, top=2000):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
             words = re.findall(r"[^\x20\x09]+", piece)
-            lists.append((lang or "und", words))
-            totals[lang or "und"] += len(words)
+            lists.append(("und" if lang is None else lang, words))
+            totals["und" if lang is None else lang] += len(words)
     f = Counter(
         (lang, tuple(w[i : i + m])) for lang, w in lists for m in (1, 2, 3, 4) for i in range(len(w) - m + 1)
     )
