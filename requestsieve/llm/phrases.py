@@ -1,6 +1,6 @@
 """Phrase collocations by an FM-index of each shard over word ids.
 
-A shard is some millions of words. Its suffixes are sorted by their first `MOST_WORDS` words
+A shard is a million words or two. Its suffixes are sorted by their first `MOST_WORDS` words
 within their piece; the index is the word before each suffix in that order (the transform), and
 how often each word occurs. Both are enough to step from an interval of suffixes that begin with
 a phrase to that of the phrase with one more word on its left. Such a longer phrase lies within
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from requestsieve.llm.common import small_batches, written
-from requestsieve.llm.tokens import parts
+from requestsieve.llm.tokens import give_back, parts
 from requestsieve.session import shared_folder
 
 MOST_WORDS = 4
@@ -31,7 +31,7 @@ LEAST = 30
 TOP = 2000
 COVERED_PERCENT = 80
 SCALE = 2_000_000
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_500_000
 SHARDS_PER_TASK = 1024
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,16 +80,14 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, most: int = MOST_WORDS)
 
     Symbols are 1 and up; `left` is the number that follow each within its piece.
     """
-    rank, depth, order = symbols, 1, np.argsort(symbols, kind="stable")
-    while depth < most:
-        follows = np.zeros_like(rank)
+    rank, depth, order = symbols.astype(np.int32), 1, None
+    while order is None or depth < most:
+        key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
         on = np.flatnonzero(left >= depth)
-        follows[on] = rank[on + depth]
-        key = rank * (int(rank.max(initial=0)) + 1) + follows
+        key[on] += rank[on + depth]
+        del on
         order = np.argsort(key, kind="stable")
-        ahead = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.diff(ahead, prepend=-1) > 0)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) > 0)
         depth *= 2
     return order
 
@@ -98,9 +96,10 @@ def transform(symbols: np.ndarray, opens: np.ndarray) -> np.ndarray:
     """The symbol before each suffix, suffixes in order; 0 before the first of a piece."""
     n = len(symbols)
     edges = np.append(np.flatnonzero(opens), n)
-    left = np.repeat(edges[1:], np.diff(edges)) - np.arange(n) - 1
-    before = np.where(opens, 0, np.roll(symbols, 1))
-    return before[suffix_order(symbols, left)].astype("<u4")
+    left = (np.repeat(edges[1:], np.diff(edges)) - np.arange(n) - 1).astype(np.int32)
+    order = suffix_order(symbols, left)
+    before = np.where(opens, 0, np.roll(symbols, 1)).astype("<u4")
+    return before[order]
 
 
 def left_steps(bwt: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -124,7 +123,7 @@ def extend(
 
     Returns the phrase's first words and last words (their ids), its interval's start and size.
     """
-    owner = np.full(len(bwt), -1, dtype=np.int64)
+    owner = np.full(len(bwt), -1, dtype=np.int32)
     rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     owner[rows] = np.repeat(np.arange(len(lo)), n)
     rows = rows[bwt[rows] > 0]
@@ -150,7 +149,7 @@ class Shard:
     def add(self, texts: pa.Array, langs: pa.Array) -> None:
         words, opens, counts = words_of(texts)
         codes = [self.langs.setdefault(x, len(self.langs)) for x in langs.to_pylist()]
-        self.parts.append((words, opens, np.repeat(np.array(codes, dtype=np.int64), counts)))
+        self.parts.append((words, opens, np.repeat(np.array(codes, dtype=np.int32), counts)))
         self.size += len(words)
 
     def indexes(self, most: int) -> Iterator[tuple]:
@@ -159,16 +158,18 @@ class Shard:
             return
         chunks = pa.chunked_array([p[0] for p in self.parts]).unify_dictionaries().chunks
         names = chunks[0].dictionary
-        ids = np.concatenate([c.indices.to_numpy() for c in chunks]).astype(np.int64)
+        ids = np.concatenate([c.indices.to_numpy() for c in chunks])
         opens, langs = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2))
+        self.parts, chunks = [], []
         at = np.flatnonzero(opens)
         edges = at[np.diff(at // most, prepend=0) > 0] if self.size >= 2 * most else at[:0]
         by_code = pa.array(list(self.langs), pa.string())
         for a, b in zip([0, *edges], [*edges, len(ids)], strict=True):
-            keys = langs[a:b] * len(names) + ids[a:b]
+            keys = langs[a:b].astype(np.int64) * len(names) + ids[a:b]
             found, symbols, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            del keys
             yield (
-                transform(symbols + 1, opens[a:b]).tobytes(),
+                transform(symbols.astype(np.int32) + 1, opens[a:b]),
                 names.take(pa.array(found % len(names))),
                 by_code.take(pa.array(found // len(names))),
                 np.cumsum(counts) - counts,
@@ -190,13 +191,24 @@ def write_index(
             for raw, words, langs, starts, counts in shard.indexes(shard_words):
                 if number == last:
                     raise ValueError("a task has too many words; read smaller partitions")
-                kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2]
-                values = [number, raw, words.to_pylist(), langs.to_pylist(), starts, counts]
+                lists = [
+                    words.cast(pa.string()), langs, *[pa.array(v, pa.int64()) for v in (starts, counts)]
+                ]
+                whole = pa.Array.from_buffers(
+                    pa.binary(),
+                    1,
+                    [None, pa.py_buffer(np.array([0, raw.nbytes], np.int32)), pa.py_buffer(raw)],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
+                    [
+                        pa.array([number], pa.int64()),
+                        whole,
+                        *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
+                    ],
                     ["shard", "transform", "words", "langs", "starts", "counts"],
                 )
                 number += 1
+                give_back()
 
         shard = Shard()
         for batch in batches:
@@ -246,7 +258,7 @@ def _extended(index: DataFrame, alive: DataFrame) -> DataFrame:
                 shard, raw, counts, intervals = (c[k] for c in batch.columns)
                 lo, n, ids = (c.to_numpy() for c in intervals.values.flatten())
                 order = np.argsort(lo)
-                bwt = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+                bwt = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int32)
                 own = counts.values.to_numpy()
                 prefix, suffix, at, size = extend(bwt, own, lo[order], n[order], ids[order])
                 for a in range(0, len(at), 100_000):

@@ -236,7 +236,7 @@ def test_steps_of_the_index_reach_every_longer_phrase():
     shard = phrases.Shard()
     shard.add(pa.array([t for _, t, _ in rows]), pa.array(["x"] * len(rows)))
     ((raw, names, _, starts, counts),) = shard.indexes(10**9)
-    bwt = np.frombuffer(raw, "<u4").astype(np.int64)
+    bwt = np.frombuffer(raw, "<u4").astype(np.int32)
     known = {i: (w,) for i, w in enumerate(names.to_pylist())}
     lo, n = starts, counts
     for m in (2, 3, 4):
