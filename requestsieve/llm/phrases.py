@@ -8,8 +8,10 @@ the interval of its first words too, of which it is a right extension; so a step
 whose two shorter halves are frequent in the whole corpus, and no others.
 
 Each length is one pass: shards extend the intervals that are left, counts are added up over
-shards, and intervals of frequent phrases go back to their shards. The index table is bucketed by
-shard, so it is not shuffled. A phrase is frequent if it occurs `least` times in its language;
+shards, and intervals of frequent phrases go back to their shards. Counts travel in blocks of a
+hash of the phrase, each a few packed columns for a shard; there are so many blocks that one
+holds about a million counts of all shards together. The index table is bucketed by shard, so it
+is not shuffled. A phrase is frequent if it occurs `least` times in its language;
 its parts then are too, so nothing that counts is left out.
 """
 
@@ -46,7 +48,13 @@ INDEX = (
     "shard bigint, transform binary, words array<string>, langs array<string>,"
     " starts array<bigint>, counts array<bigint>"
 )
-LOCAL = "shard bigint, prefix bigint, suffix bigint, lo bigint, n bigint"
+LOCAL = "block bigint, shard bigint, size bigint, packed binary"
+# Rows of two kinds: a frequent phrase, or (with `shard`) intervals that stay in a shard.
+SUMMED = (
+    "id bigint, prefix bigint, suffix bigint, a bigint, shard bigint, size bigint, packed binary"
+)
+BLOCK_COUNTS = 1_000_000
+CODEC = "zstd"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -236,12 +244,29 @@ def write_index(
     return name
 
 
-def _frequent(local: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of phrases that all shards together hold `least` times; their sum is `a`.
+def _pack(*columns: np.ndarray) -> bytes:
+    """Whole-number columns of one length; the first is in rising order and kept by its steps."""
+    first = np.diff(columns[0], prepend=0)
+    wide = [np.ascontiguousarray(c, dtype="<i8").view(np.uint8).reshape(-1, 8).T for c in (first, *columns[1:])]
+    return pa.compress(np.concatenate(wide).tobytes(), CODEC, asbytes=True)
 
-    `id` is that of one of the phrase's intervals, the same for all its rows.
-    """
-    same = Window.partitionBy(*keys)
+
+def _unpack(packed: pa.Buffer, size: int, count: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(packed, 8 * size * count, CODEC), np.uint8).reshape(count, 8, size)
+    columns = [np.ascontiguousarray(c.T).view("<i8").ravel() for c in raw]
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
+def _block(prefix: np.ndarray, suffix: np.ndarray, blocks: int) -> np.ndarray:
+    mixed = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29)) ^ suffix.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(31)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _frequent_words(local: DataFrame, least: int) -> DataFrame:
+    """Rows (a word in a shard) of words that all shards together hold `least` times; their sum
+    is `a`. `id` is that of one of the word's intervals, the same for all its rows."""
+    same = Window.partitionBy("lang", "phrase")
     own = F.shiftleft("shard", 32) + F.col("lo")
     summed = local.withColumns(
         {"own": own, "a": F.sum("n").over(same), "id": F.min(own).over(same)}
@@ -249,33 +274,102 @@ def _frequent(local: DataFrame, keys: list[str], least: int) -> DataFrame:
     return written(summed.filter(F.col("a") >= least), "frequent")
 
 
-def _extended(index: DataFrame, alive: DataFrame) -> DataFrame:
-    """Per shard the phrases one word longer than those in `alive`."""
+def _extended(index: DataFrame, alive: DataFrame, blocks: int) -> DataFrame:
+    """Per shard and block the phrases one word longer than those `alive` in the shard.
+
+    `alive` has one row for each shard, with `intervals`: structs, or packed columns.
+    """
+
+    def intervals_of(value: pa.Scalar) -> list[np.ndarray]:
+        entries = value.values
+        if "packed" not in [f.name for f in entries.type]:
+            return [entries.field(c).to_numpy() for c in ("lo", "n", "id")]
+        sizes, packed = entries.field("size").to_pylist(), entries.field("packed")
+        found = [_unpack(packed[k].as_buffer(), n, 3) for k, n in enumerate(sizes)]
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, raw, counts, intervals = (c[k] for c in batch.columns)
-                lo, n, ids = (c.to_numpy() for c in intervals.values.flatten())
+                lo, n, ids = intervals_of(intervals)
                 order = np.argsort(lo)
                 bwt = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int32)
                 own = counts.values.to_numpy()
-                prefix, suffix, at, size = extend(bwt, own, lo[order], n[order], ids[order])
-                for a in range(0, len(at), 100_000):
-                    own = slice(a, a + 100_000)
-                    columns = [np.full(len(at[own]), shard.as_py()), prefix[own], suffix[own], at[own], size[own]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in columns], ["shard", "prefix", "suffix", "lo", "n"]
-                    )
-
-    intervals = alive.groupBy("shard").agg(F.collect_list(F.struct("lo", "n", "id")).alias("intervals"))
-    joined = index.select("shard", "transform", "counts").join(intervals, "shard")
+                columns = extend(bwt, own, lo[order], n[order], ids[order])
+                block = _block(*columns[:2], blocks)
+                order = np.lexsort((columns[1], columns[0], block))
+                columns, block = [c[order] for c in columns], block[order]
+                edges = np.flatnonzero(np.diff(block, prepend=-1))
+                ends = [*edges[1:], len(block)][: len(edges)]
+                packed = [_pack(*[c[a:b] for c in columns]) for a, b in zip(edges, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[edges], pa.int64()),
+                        pa.array([shard.as_py()] * len(edges), pa.int64()),
+                        pa.array(np.diff([*edges, len(block)]), pa.int64()),
+                        pa.array(packed, pa.binary()),
+                    ],
+                    ["block", "shard", "size", "packed"],
+                )
+                give_back()
+
+    joined = index.select("shard", "transform", "counts").join(alive, "shard")
     return small_batches(joined).mapInArrow(step, LOCAL)
 
 
-def _longer(alive: DataFrame, shorter: DataFrame) -> DataFrame:
+def _summed(local: DataFrame, least: int) -> DataFrame:
+    """The phrases that all shards together hold `least` times, and their intervals by shard."""
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    names = ["id", "prefix", "suffix", "a", "shard", "size", "packed"]
+
+    def add_up(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block, shards, sizes = (group.column(k).to_numpy() for k in ("block", "shard", "size"))
+        packed = group.column("packed").chunk(0)
+        found = [_unpack(packed[k].as_buffer(), n, 4) for k, n in enumerate(sizes.tolist())]
+        prefix, suffix, lo, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        shard = np.repeat(shards, sizes)
+        del found
+        order = np.lexsort((suffix, prefix))
+        first = np.flatnonzero(
+            (np.diff(prefix[order], prepend=-1) != 0) | (np.diff(suffix[order], prepend=-1) != 0)
+        )
+        total = np.add.reduceat(n[order], first)
+        frequent = total >= least
+        ids = np.cumsum(frequent) - 1 + (int(block[0]) << 32)
+        rows = order[np.repeat(frequent, np.diff(np.append(first, len(order))))]
+        one = order[first[frequent]]
+        phrases = pa.table(
+            [pa.array(c, pa.int64()) for c in (ids[frequent], prefix[one], suffix[one], total[frequent])]
+            + [pa.nulls(len(one), k) for k in kinds[4:]],
+            names,
+        )
+        own_id = np.repeat(ids[frequent], np.diff(np.append(first, len(order)))[frequent])
+        by_shard = np.lexsort((lo[rows], shard[rows]))
+        rows, own_id = rows[by_shard], own_id[by_shard]
+        edges = np.flatnonzero(np.diff(shard[rows], prepend=-1))
+        ends = [*edges[1:], len(rows)][: len(edges)]
+        packed = [
+            _pack(lo[rows[a:b]], n[rows[a:b]], own_id[a:b]) for a, b in zip(edges, ends, strict=True)
+        ]
+        stay = pa.table(
+            [pa.nulls(len(edges), k) for k in kinds[:4]]
+            + [
+                pa.array(shard[rows[edges]], pa.int64()),
+                pa.array(np.diff([*edges, len(rows)]), pa.int64()),
+                pa.array(packed, pa.binary()),
+            ],
+            names,
+        )
+        return pa.concat_tables([phrases, stay])
+
+    return written(local.groupBy("block").applyInArrow(add_up, SUMMED), "summed")
+
+
+def _longer(summed: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases of one more word: counts of all their beginnings (`heads`) and ends (`tails`)."""
-    once = alive.filter("id = own").select("id", "prefix", "suffix", "a")
+    once = summed.filter("shard IS NULL").select("id", "prefix", "suffix", "a")
     p = shorter.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "lang", "phrase", "a", "heads")])
     s = shorter.select(*[F.col(c).alias(f"s_{c}") for c in ("id", "last", "a", "tails")])
     return (
@@ -347,16 +441,21 @@ def frequent_phrases(
         "shard", F.inline(F.arrays_zip("words", "langs", "starts", "counts"))
     ).toDF("shard", "phrase", "lang", "lo", "n")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    alive = _frequent(words, ["lang", "phrase"], least)
+    blocks = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BLOCK_COUNTS
+    known = _frequent_words(words, least)
     none = F.array().cast("array<bigint>")
     found = [
-        alive.filter("id = own").select(
+        known.filter("id = own").select(
             "id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("heads"), none.alias("tails")
         )
     ]
+    entry = F.struct("lo", "n", "id")
+    alive = known
     for _ in range(MOST_WORDS - 1):
-        alive = _frequent(_extended(index, alive), ["prefix", "suffix"], least)
-        found.append(written(_longer(alive, found[-1]), "phrases"))
+        by_shard = alive.groupBy("shard").agg(F.collect_list(entry).alias("intervals"))
+        summed = _summed(_extended(index, by_shard, blocks), least)
+        found.append(written(_longer(summed, found[-1]), "phrases"))
+        alive, entry = summed.filter("shard IS NOT NULL"), F.struct("size", "packed")
     spark.sql(f"DROP TABLE {name}")
     return totals, found
 
