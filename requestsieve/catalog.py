@@ -43,12 +43,11 @@ from requestsieve.operators.reputation import (
     reputation_sessions,
     upsert_reputation,
 )
-from requestsieve.plans import analytics, cascade
+from requestsieve.plans import analytics, cascade, outputs
 from requestsieve.session import shared_folder
 from requestsieve.settings import Settings
 from requestsieve.sources import log, requests, samples, stores
 from requestsieve.streaming import jobs
-from requestsieve.streaming.tracker import track_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +84,7 @@ def classifiable_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "log")
     log.append_log(samples.log_in(spark, sf_dir), path)
-    return log.read_log(spark, path, analytics.since_ms(HOURS, NOW))
+    return log.read_log(spark, path, analytics.since_ms(HOURS, NOW), keep_day=False)
 
 
 def validate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,8 +199,14 @@ def signal_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_hashing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of each behaviour text's vector that are not zero."""
     texts = signal_text_query(spark, sf_dir).select("signal_text").distinct()
-    return embed_hashing(texts)
+    return (
+        embed_hashing(texts)
+        .select("signal_text", F.posexplode("vector").alias("place", "weight"))
+        .filter(F.col("weight") != 0)
+        .withColumn("weight", F.round(F.col("weight").cast("double"), 6))
+    )
 
 
 def fingerprint_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +216,34 @@ def fingerprint_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+# As if the index were too large to be broadcast, and its cells too large for one task.
+CELLS = Settings(
+    broadcast_elements=1, pivots=64, vectors_per_shard=2_000, queries_per_shard=2_000
+)
+
+
+def fingerprint_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by cells over all embeddings: equal to comparing all pairs."""
+    found = fingerprint_topk(
+        samples.query_vectors(spark, sf_dir),
+        samples.fingerprint_index(spark, sf_dir),
+        settings=CELLS,
+    )
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def vector_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts_of(spark, sf_dir, Settings())
+
+
+def vector_verdict_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the floor that a verdict needs, few cells are visited."""
+    return _verdicts_of(spark, sf_dir, CELLS)
+
+
+def _verdicts_of(spark: SparkSession, sf_dir: str, settings: Settings) -> DataFrame:
     queries = samples.query_vectors(spark, sf_dir)
-    found = vector_verdicts(queries, samples.fingerprint_index(spark, sf_dir))
+    found = vector_verdicts(queries, samples.fingerprint_index(spark, sf_dir), settings)
     return found.select(
         "query_id",
         "match_id",
@@ -345,15 +375,20 @@ def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the three sinks, then read all of them back."""
+    """Write the sinks, then read them back."""
     folder = shared_folder(spark, "outputs")
-    cascade.write_outputs(
+    outputs.write_outputs(
         _keyed(spark, sf_dir, samples.requests_in(spark, sf_dir)),
         folder,
         samples.responses(spark, sf_dir),
         samples.responses(spark, sf_dir, secondary=True),
         sample_fingerprints(spark, sf_dir),
     )
+    return _written(spark, folder)
+
+
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """Per client: rows of the log, its entry, and the number of its fingerprints."""
     logged = log.read_log(spark, f"{folder}/log").groupBy("ip").agg(
         F.count(F.lit(1)).alias("logged"),
         F.count_if(F.col("source") == "CACHE").alias("cached"),
@@ -373,12 +408,130 @@ def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Times that divide the dense timeline into batches: within a minute, within sessions.
+DENSE_CUTS = (60_000, 200_500, 200_501, 480_250)
+
+
+def _in_batches(
+    spark: SparkSession, sf_dir: str, rows: DataFrame, cuts: list[int], folder: str
+) -> outputs.Sinks:
+    """Run the cascade over the rows before the first cut, then up to the next one, and so on."""
+    sinks = outputs.Sinks.at(spark, folder)
+    edges = [None, *cuts, None]
+    for batch_id, (since, until) in enumerate(zip(edges, edges[1:], strict=False)):
+        # A row without a time comes with the last batch.
+        after = F.lit(True) if since is None else F.col("ts_ms") >= since
+        before = F.lit(True) if until is None else F.col("ts_ms") < until
+        lacking = F.col("ts_ms").isNull() & F.lit(until is None)
+        outputs.run_batch(
+            rows.filter(F.coalesce(after & before, F.lit(False)) | lacking),
+            batch_id,
+            sinks,
+            samples.responses(spark, sf_dir),
+            samples.responses(spark, sf_dir, secondary=True),
+            sample_fingerprints(spark, sf_dir),
+        )
+    return sinks
+
+
+def classify_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense timeline in batches that cut minutes and sessions: equal to a single run."""
+    folder = shared_folder(spark, "incremental")
+    rows = _keyed(spark, sf_dir, samples.requests_dense(spark, sf_dir))
+    _in_batches(spark, sf_dir, rows, [samples.START_MS + c for c in DENSE_CUTS], folder)
+    return log.read_log(spark, f"{folder}/log", keep_day=False).select(
+        "request_id", "ip", F.round("score", 6).alias("score"), "class", "source"
+    )
+
+
+def incremental_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What batches of ten days leave in the sinks: equal to what a single run leaves."""
+    folder = shared_folder(spark, "incremental")
+    rows = _keyed(spark, sf_dir, samples.requests_in(spark, sf_dir))
+    day = 86_400_000
+    _in_batches(
+        spark, sf_dir, rows, [samples.START_MS + 10 * day, samples.START_MS + 20 * day], folder
+    )
+    return _written(spark, folder)
+
+
+def classify_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests without client or time and answers that come twice: all are accounted for."""
+    folder = shared_folder(spark, "dirty")
+    answers = samples.responses(spark, sf_dir)
+    outputs.write_outputs(
+        _keyed(spark, sf_dir, samples.requests_dirty(spark, sf_dir)),
+        folder,
+        answers.unionByName(answers),
+        samples.responses(spark, sf_dir, secondary=True),
+        sample_fingerprints(spark, sf_dir),
+    )
+    logged = log.read_log(spark, f"{folder}/log", keep_day=False)
+    errors = F.array_join("errors", ",")
+    good = logged.select("request_id", F.round("score", 6).alias("score"), "class", F.lit("").alias("errors"))
+    bad = log.read_rejected(spark, f"{folder}/log").select("request_id", "score", "class", errors.alias("errors"))
+    return good.unionByName(bad)
+
+
 def classified_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw signals to a dashboard view in one plan."""
     classified = _classified(spark, sf_dir, samples.requests_in(spark, sf_dir))
     return analytics.by_country(classified, 24 * 31, NOW)
 
 
+def known_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of how one agent behaves on its first request of a minute."""
+    rows = samples.requests_in(spark, sf_dir).filter(F.col("user_agent") == "curl/8.5.0")
+    texts = rows.withColumn("rate", F.lit(1).cast("long")).select(signal_text().alias("id")).distinct()
+    return embed_hashing(texts, "id").select("id", F.col("vector").alias("values"), F.lit("BOT").alias("class"))
+
+
+def _decided(classified: DataFrame) -> DataFrame:
+    decided = cascade.decisions(classified).drop("class", "source")
+    shown = classified.select("request_id", "ip", "class", "source")
+    return decided.join(shown, "request_id").select(
+        "request_id", "ip", "class", "source", "action", "status", "score_text"
+    )
+
+
+def raw_to_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw requests to decisions, by the behaviour text's own vectors."""
+    path = shared_folder(spark, "requests")
+    samples.raw_requests(spark, sf_dir).write.parquet(path)
+    raw = requests.classifiable(requests.read_requests(spark, path))
+    classified = cascade.classify(
+        extract_signals(raw),
+        samples.responses(spark, sf_dir),
+        samples.responses(spark, sf_dir, secondary=True),
+        cascade.Fingerprints(known_bots(spark, sf_dir)),
+    )
+    return _decided(classified)
+
+
+def raw_to_decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of raw requests, some files at a time, into the log."""
+    folder = shared_folder(spark, "raw-stream")
+    raw = samples.raw_requests(spark, sf_dir)
+    raw.repartitionByRange(6, "ts_ms", "request_id").write.parquet(f"{folder}/in")
+    first = samples.responses(spark, sf_dir)
+    second = samples.responses(spark, sf_dir, secondary=True)
+    # The files of the sample come in the order of their time, two to a micro-batch.
+    files = sorted(raw_files(spark, f"{folder}/in"))
+    prints = cascade.Fingerprints(known_bots(spark, sf_dir))
+    for k in range(0, len(files), 2):
+        spark.read.parquet(*files[k : k + 2]).coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+        source = requests.stream_requests(spark, f"{folder}/arrived", max_files=1)
+        signals_of = extract_signals(requests.classifiable(source))
+        jobs.drain(
+            jobs.classify_stream(signals_of, f"{folder}/out", f"{folder}/checkpoint", first, second, prints)
+        )
+    return _decided(log.read_log(spark, f"{folder}/out/log", keep_day=False))
+
+
+def raw_files(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.parquet(path).inputFiles()
+
+
 # --- analytics --------------------------------------------------------------------------
 
 
@@ -449,24 +602,19 @@ def _run_in_slices(
         part = rows.filter(F.coalesce(after, F.lit(until is None)) & F.coalesce(before, F.lit(False)))
         part.write.mode("append").parquet(path)
         source = spark.readStream.schema(rows.schema).parquet(path)
-        jobs.drain(spark, start(source))
+        jobs.drain(start(source))
         since = until
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates and sessions from keyed state, over three runs of one stream."""
+    """Rates and sessions of a stream, over three runs of it."""
     folder = shared_folder(spark, "stream-sessions")
 
     def start(source: DataFrame) -> DataStreamWriter:
-        return (
-            track_stream(source)
-            .writeStream.format("parquet")
-            .option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/checkpoint")
-        )
+        return jobs.track_stream(source, f"{folder}/out", f"{folder}/checkpoint")
 
     _run_in_slices(samples.requests_in(spark, sf_dir), f"{folder}/in", start)
-    return spark.read.parquet(f"{folder}/out").select(
+    return jobs.tracked_table(spark, f"{folder}/out").read().select(
         "request_id", "ip", "rate", "session_start", "hits", "is_miss"
     )
 
@@ -477,16 +625,15 @@ def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = samples.responses(spark, sf_dir)
     second = samples.responses(spark, sf_dir, secondary=True)
     prints = sample_fingerprints(spark, sf_dir)
-    replay = Settings(verdict_span_ms=86_400_000)
 
     def start(source: DataFrame) -> DataStreamWriter:
         return jobs.classify_stream(
-            source, f"{folder}/out", f"{folder}/checkpoint", first, second, prints, replay
+            source, f"{folder}/out", f"{folder}/checkpoint", first, second, prints
         )
 
     rows = _keyed(spark, sf_dir, samples.requests_in(spark, sf_dir))
     _run_in_slices(rows, f"{folder}/in", start)
-    return log.read_log(spark, f"{folder}/out/log").select(
+    return log.read_log(spark, f"{folder}/out/log", keep_day=False).select(
         "request_id", "ip", F.round("score", 6).alias("score"), "class", "source"
     )
 
@@ -523,7 +670,9 @@ QUERIES: dict[str, Query] = {
     "signal_text": signal_text_query,
     "embed_hashing": embed_hashing_query,
     "fingerprint_topk": fingerprint_topk_query,
+    "fingerprint_cells": fingerprint_cells,
     "vector_verdict": vector_verdict,
+    "vector_verdict_cells": vector_verdict_cells,
     "heuristic_score": heuristic_score_query,
     "heuristic_verdict": heuristic_verdict_query,
     "rule_hits": rule_hits_query,
@@ -536,7 +685,12 @@ QUERIES: dict[str, Query] = {
     "classify_dense": classify_dense,
     "decide": decide,
     "write_outputs": write_outputs,
+    "classify_incremental": classify_incremental,
+    "incremental_entries": incremental_entries,
+    "classify_dirty": classify_dirty,
     "classified_by_country": classified_by_country,
+    "raw_to_decision": raw_to_decision,
+    "raw_to_decision_stream": raw_to_decision_stream,
     "parse_range": parsed_ranges,
     "total": _ranged(analytics.total),
     "class_breakdown": _ranged(analytics.class_breakdown),

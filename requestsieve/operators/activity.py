@@ -3,23 +3,26 @@
 Everything stateful is derived from one row per (ip, minute), which partial aggregation
 produces on the map side. However many requests a client sends, it has at most one such row
 per minute, so the per-client window in `sessions` stays small. Rows themselves are shuffled
-once, by (ip, minute), to be ranked. A minute of one client that holds more than
-`Settings.hot_rows` requests is ranked in blocks (per millisecond, and within a hot
-millisecond per range of request ids) whose sizes give each block its starting rank.
+once, by (ip, minute), to be ranked. Minutes of one client that hold more than
+`Settings.hot_rows` requests are ranked in blocks: their rows are range-partitioned by client,
+time and request id, into enough parts that none is above that size, however times and ids
+lie, and the counted sizes of the parts give each its starting rank.
 """
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from requestsieve.functions.signals import MINUTE_MS, minute_bucket
 from requestsieve.session import durable
 from requestsieve.settings import DEFAULTS, Settings
 
 MINUTE_KEY = ["ip", "minute"]
-BLOCK_KEY = [*MINUTE_KEY, "block_ms", "block_id"]
-ID_BLOCKS = 64
+BLOCK_KEY = [*MINUTE_KEY, "block_id"]
+# Parts are planned at this share of the allowed size, as their edges come from a sample.
+PLANNED_SHARE = 0.4
 
 
 def split_trackable(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,57 +82,43 @@ def spread_for_ranking(
     """Leave ordinary minutes whole; cut hot ones into ordered blocks.
 
     `minutes` has `n` per (ip, minute), of the hot ones at least, and must be materialised: it
-    is asked for its hot rows first.
+    is asked for its hot rows first. Rows of hot minutes are kept on reliable storage with
+    their block. Only rows that are equal in all columns cannot be divided.
     """
     requests = requests.withColumn("minute", minute_bucket(F.col("ts_ms")))
-    hot_minutes = minutes.filter(F.col("n") > settings.hot_rows).select(*MINUTE_KEY)
-    if hot_minutes.isEmpty():
+    hot_minutes = minutes.filter(F.col("n") > settings.hot_rows).select(*MINUTE_KEY, "n")
+    hot_total = hot_minutes.agg(F.sum("n")).first()[0]
+    if hot_total is None:
         return Ranking(requests, MINUTE_KEY, None)
 
     marked = requests.join(
-        _broadcast_if_small(hot_minutes.withColumn("is_hot", F.lit(True)), settings),
+        _broadcast_if_small(hot_minutes.select(*MINUTE_KEY, F.lit(True).alias("is_hot")), settings),
         MINUTE_KEY,
         "left",
-    ).withColumn(
-        "block_ms",
-        F.when(F.col("is_hot"), F.col("ts_ms") - F.col("minute") * MINUTE_MS).otherwise(-1),
     )
-
-    hot_instants = durable(
+    blocks = 1 + int(hot_total / (PLANNED_SHARE * settings.hot_rows))
+    hashed = [f.name for f in requests.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hot = durable(
         marked.filter("is_hot")
-        .groupBy("ip", "ts_ms")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("request_id", [k / ID_BLOCKS for k in range(1, ID_BLOCKS)]).alias(
-                "id_bounds"
-            ),
-        )
-        .filter(F.col("n") > settings.hot_rows)
-        .select("ip", "ts_ms", "id_bounds")
+        .select(*requests.columns, F.xxhash64(*hashed).alias("_tie"))
+        .repartitionByRange(blocks, *MINUTE_KEY, "ts_ms", "request_id", "_tie")
+        .select(*requests.columns, F.spark_partition_id().cast("long").alias("block_id"))
     )
-    blocked = marked.join(
-        _broadcast_if_small(hot_instants, settings), ["ip", "ts_ms"], "left"
-    ).withColumn(
-        "block_id",
-        F.when(F.col("id_bounds").isNull(), 0).otherwise(
-            F.size(F.filter("id_bounds", lambda b: b < F.col("request_id")))
-        ),
+    ordinary = marked.filter("is_hot IS NULL").select(
+        *requests.columns, F.lit(-1).cast("long").alias("block_id")
     )
-    blocked = blocked.select(*requests.columns, "block_ms", "block_id")
-
     earlier = (
         Window.partitionBy(*MINUTE_KEY)
-        .orderBy("block_ms", "block_id")
+        .orderBy("block_id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     block_starts = (
-        blocked.filter(F.col("block_ms") >= 0)
-        .groupBy(*BLOCK_KEY)
+        hot.groupBy(*BLOCK_KEY)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("rank_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .drop("n")
     )
-    return Ranking(blocked, BLOCK_KEY, block_starts)
+    return Ranking(ordinary.unionByName(hot), BLOCK_KEY, block_starts)
 
 
 def rank_rows(ranking: Ranking, slots: DataFrame | None = None) -> DataFrame:
@@ -157,7 +146,7 @@ def rank_rows(ranking: Ranking, slots: DataFrame | None = None) -> DataFrame:
 def _block_slots(ranking: Ranking, slots: DataFrame) -> DataFrame:
     """The slots at the grain rows are spread at: one per block of a hot minute."""
     return slots.join(ranking.block_starts, MINUTE_KEY, "left").fillna(
-        {"block_ms": -1, "block_id": 0, "rank_before": 0}
+        {"block_id": -1, "rank_before": 0}
     )
 
 
@@ -169,7 +158,7 @@ def join_slots(ranked: DataFrame, ranking: Ranking, slots: DataFrame) -> DataFra
 
 
 def drop_blocks(ranked: DataFrame) -> DataFrame:
-    return ranked.drop("block_ms", "block_id")
+    return ranked.drop("block_id")
 
 
 def request_rate(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -4,20 +4,18 @@ A search never forms query x index pairs as rows. Each task multiplies a batch o
 with a block of the index and keeps k matches per query.
 
 * A small index (checked) is broadcast, and queries are not shuffled at all.
-* Beyond that, the unit vectors are divided among pivots (Voronoi cells). By the triangle
-  inequality a query needs only the cells whose lower distance bound is within its search
-  radius, so far-off cells are skipped without losing a match. With a similarity floor the
-  radius is small (0.92 means distance 0.4). Cells are cut into shards of bounded size by
-  counted numbers, on both sides, so one dense cell is many tasks.
+* Beyond that, the unit vectors are divided among pivots (Voronoi cells). A query is compared
+  with its own cell first; what it finds there bounds its search radius. By the triangle
+  inequality it then needs only the cells whose lower distance bound is within that, so far-off
+  cells are skipped without losing a match. A similarity floor bounds the radius from the start
+  (0.92 means distance 0.4). Cells are cut into shards of bounded size by counted numbers, on
+  both sides, so one dense cell is many tasks.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +38,42 @@ _MATCHES = "query_id {query_type}, id string, similarity double"
 
 
 def embed_hashing(texts: DataFrame, column: str = "signal_text") -> DataFrame:
-    """Add `vector`: hashed token counts of a text column, scaled to unit length."""
-    stages = PipelineModel(
-        [
-            RegexTokenizer(
-                inputCol=column, outputCol="_tokens", pattern=r"[A-Za-z0-9]+", gaps=False
-            ),
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=EMBEDDING_SIZE),
-            Normalizer(inputCol="_counts", outputCol="_unit"),
-        ]
-    )
-    return (
-        stages.transform(texts)
-        .withColumn("vector", vector_to_array("_unit", "float32"))
-        .drop("_tokens", "_counts", "_unit")
+    """Add `vector`: hashed token counts of a text column, scaled to unit length.
+
+    A token's place is given by the first 32 bits of its MD5, so other systems can repeat it. A
+    text without tokens has the zero vector, which matches nothing.
+    """
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("([a-z0-9]+)"))
+
+    def place(token: Column) -> Column:
+        return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % EMBEDDING_SIZE).cast("int")
+
+    def counted(places: Column) -> Column:
+        used = F.array_distinct(places)
+        times = F.transform(used, lambda p: F.size(F.filter(places, lambda q: q == p)).cast("double"))
+        return F.map_from_arrays(used, times)
+
+    def length(counts: Column) -> Column:
+        return F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda total, n: total + n * n))
+
+    def unit(counts: Column, norm: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(EMBEDDING_SIZE - 1)),
+            lambda k: F.coalesce(F.try_divide(F.try_element_at(counts, k), norm), F.lit(0.0)).cast("float"),
+        )
+
+    vector = _with(
+        F.transform(tokens, place),
+        lambda places: _with(
+            counted(places), lambda counts: _with(length(counts), lambda norm: unit(counts, norm))
+        ),
     )
+    return texts.withColumn("vector", vector)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def with_signal_text(rows: DataFrame) -> DataFrame:
@@ -197,23 +216,14 @@ def _needed_cells(
     pivot_gaps: np.ndarray,
     sizes: np.ndarray,
     radii: np.ndarray,
-    k: int,
-    max_radius: float,
+    reach: np.ndarray,
 ) -> np.ndarray:
-    """Which cells may hold one of a query's k nearest within `max_radius` (a boolean matrix).
+    """Which cells may hold a vector within `reach` of each query (a boolean matrix).
 
-    Upper bound: taking cells by their farthest member until k vectors are covered. Lower
-    bounds: the ball round the pivot, and the plane between the query's own cell and another.
+    Lower bounds: the ball round the pivot, and the plane between the query's own cell and
+    another.
     """
-    farthest = distances + radii
-    order = np.argsort(farthest, axis=1)
-    covered = np.cumsum(sizes[order], axis=1) >= k
-    last = np.where(covered.any(axis=1), covered.argmax(axis=1), len(sizes) - 1)
     rows = np.arange(len(distances))
-    reach = np.take_along_axis(farthest, order, axis=1)[rows, last]
-    reach = np.where(covered.any(axis=1), reach, np.inf)
-    reach = np.minimum(reach, max_radius)
-
     home = distances.argmin(axis=1)
     gaps = pivot_gaps[home]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -223,118 +233,178 @@ def _needed_cells(
     return (nearest <= reach[:, None] + SLACK) & (sizes > 0)
 
 
-def _search_cells(
-    queries: DataFrame,
-    candidates: DataFrame,
-    k: int,
-    min_similarity: float | None,
-    settings: Settings,
-) -> DataFrame:
-    spark = queries.sparkSession
-    pivots = _pick_pivots(candidates, settings.pivots)
-    pivot_gaps = _distances(pivots, pivots)
-    np.fill_diagonal(pivot_gaps, 0.0)
-    shared_pivots = spark.sparkContext.broadcast((pivots, pivot_gaps))
-    max_radius = np.inf if min_similarity is None else np.sqrt(max(0.0, 2 - 2 * min_similarity))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, _ = shared_pivots.value
-        for batch in batches:
-            vectors, good = _unit_rows(batch["values"])
-            if len(vectors):
-                distances = _distances(vectors, centres)
-                cells = distances.argmin(axis=1)
+class Cells:
+    """An index divided among pivots, and the search in it in two passes.
+
+    First each query is compared with the cell it is nearest to. The k-th best similarity found
+    there bounds how far better ones can be, and with it, or the floor if that is higher, the
+    second pass visits only the other cells that reach so near. Both are exact.
+    """
+
+    def __init__(self, candidates: DataFrame, k: int, min_similarity: float | None, settings: Settings):
+        self.k, self.settings = k, settings
+        context = candidates.sparkSession.sparkContext
+        pivots = _pick_pivots(candidates, settings.pivots)
+        pivot_gaps = _distances(pivots, pivots)
+        np.fill_diagonal(pivot_gaps, 0.0)
+        self.pivots = context.broadcast((pivots, pivot_gaps))
+        floor = -1.0 if min_similarity is None else min_similarity
+        self.widest = float(np.sqrt(max(0.0, 2 - 2 * floor)))
+        self.placed = durable(self._placed(candidates))
+        # One row per pivot at most.
+        stats = self.placed.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")
+        ).toPandas()
+        self.sizes = np.zeros(len(pivots), dtype=np.int64)
+        radii = np.zeros(len(pivots))
+        self.sizes[stats["cell"]] = stats["n"]
+        radii[stats["cell"]] = stats["radius"]
+        self.cells = context.broadcast((self.sizes, radii))
+
+    def _placed(self, candidates: DataFrame) -> DataFrame:
+        shared = self.pivots
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, _ = shared.value
+            for batch in batches:
+                vectors, good = _unit_rows(batch["values"])
+                if len(vectors):
+                    distances = _distances(vectors, centres)
+                    cells = distances.argmin(axis=1)
+                    yield pd.DataFrame(
+                        {
+                            "cell": cells.astype("int32"),
+                            "distance": distances[np.arange(len(cells)), cells],
+                            "id": batch["id"].to_numpy()[good],
+                            "unit": list(vectors),
+                        }
+                    )
+
+        return candidates.mapInPandas(
+            place, "cell int, distance double, id string, unit array<double>"
+        )
+
+    def at_home(self, queries: DataFrame) -> DataFrame:
+        """(query_id, unit, cells) with the nearest cell of each query that is not empty."""
+        pivots, cells = self.pivots, self.cells
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, _ = pivots.value
+            sizes, _ = cells.value
+            for batch in batches:
+                vectors, good = _unit_rows(batch["vector"])
+                if len(vectors):
+                    distances = np.where(sizes > 0, _distances(vectors, centres), np.inf)
+                    home = distances.argmin(axis=1).astype("int32")
+                    yield pd.DataFrame(
+                        {
+                            "query_id": batch["query_id"].to_numpy()[good],
+                            "unit": list(vectors),
+                            "cells": [np.array([c]) for c in home],
+                        }
+                    )
+
+        query_type = queries.schema["query_id"].dataType.simpleString()
+        return queries.select("query_id", "vector").mapInPandas(
+            route, f"query_id {query_type}, unit array<double>, cells array<int>"
+        )
+
+    def elsewhere(self, home: DataFrame, found: DataFrame) -> DataFrame:
+        """The other cells that may hold something better than what was `found` at home."""
+        pivots, cells, widest = self.pivots, self.cells, self.widest
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, gaps = pivots.value
+            sizes, radii = cells.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vectors = np.vstack([np.asarray(u, dtype=np.float64) for u in batch["unit"]])
+                kth = batch["kth"].to_numpy(dtype=np.float64, na_value=np.nan)
+                reach = np.where(np.isnan(kth), widest, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth)))
+                needed = _needed_cells(
+                    _distances(vectors, centres), gaps, sizes, radii, np.minimum(reach, widest)
+                )
+                needed[np.arange(len(needed)), [c[0] for c in batch["cells"]]] = False
                 yield pd.DataFrame(
                     {
-                        "cell": cells.astype("int32"),
-                        "distance": distances[np.arange(len(cells)), cells],
-                        "id": batch["id"].to_numpy()[good],
+                        "query_id": batch["query_id"].to_numpy(),
                         "unit": list(vectors),
+                        "cells": [np.flatnonzero(row).astype("int32") for row in needed],
                     }
                 )
 
-    placed = candidates.mapInPandas(
-        place, "cell int, distance double, id string, unit array<double>"
-    )
-    # One row per pivot at most.
-    stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")
-    ).toPandas()
-    sizes = np.zeros(len(pivots), dtype=np.int64)
-    radii = np.zeros(len(pivots))
-    sizes[stats["cell"]] = stats["n"]
-    radii[stats["cell"]] = stats["radius"]
-    shared_cells = spark.sparkContext.broadcast((sizes, radii))
-
-    query_type = queries.schema["query_id"].dataType.simpleString()
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, gaps = shared_pivots.value
-        cell_sizes, cell_radii = shared_cells.value
-        for batch in batches:
-            vectors, good = _unit_rows(batch["vector"])
-            if not len(vectors):
-                continue
-            needed = _needed_cells(
-                _distances(vectors, centres), gaps, cell_sizes, cell_radii, k, max_radius
-            )
-            yield pd.DataFrame(
-                {
-                    "query_id": batch["query_id"].to_numpy()[good],
-                    "unit": list(vectors),
-                    "cells": [np.flatnonzero(row).astype("int32") for row in needed],
-                }
-            )
+        best = F.sort_array(F.collect_list("similarity"), asc=False)
+        kth = found.groupBy("query_id").agg(F.get(best, self.k - 1).alias("kth"))
+        return home.join(kth, "query_id", "left").mapInPandas(route, home.schema)
 
-    routed = queries.select("query_id", "vector").mapInPandas(
-        route, f"query_id {query_type}, unit array<double>, cells array<int>"
-    )
-    loads = (
-        routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().toPandas()
-    )
+    def search(self, routed: DataFrame, schema: str) -> DataFrame:
+        """The k best in each cell, or shard of a large one, that a query is routed to.
 
-    index_shards = np.maximum(1, -(-sizes // settings.vectors_per_shard))
-    query_shards = np.ones(len(pivots), dtype=np.int64)
-    query_shards[loads["cell"]] = np.maximum(1, -(-loads["count"] // settings.queries_per_shard))
+        Cells are cut into shards of bounded size by counted numbers, on both sides.
+        """
+        settings, k = self.settings, self.k
+        loads = (
+            routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().toPandas()
+        )
+        index_shards = np.maximum(1, -(-self.sizes // settings.vectors_per_shard))
+        query_shards = np.ones(len(self.sizes), dtype=np.int64)
+        query_shards[loads["cell"]] = np.maximum(
+            1, -(-loads["count"] // settings.queries_per_shard)
+        )
 
-    def shards_of(counts: np.ndarray) -> Column:
-        return F.element_at(F.lit(counts.tolist()), F.col("cell") + 1).cast("long")
+        def shards_of(counts: np.ndarray) -> Column:
+            return F.element_at(F.lit(counts.tolist()), F.col("cell") + 1).cast("long")
 
-    def own_shard(unique_id: str, counts: np.ndarray) -> Column:
-        return F.pmod(F.xxhash64(unique_id), shards_of(counts))
+        def own_shard(unique_id: str, counts: np.ndarray) -> Column:
+            return F.pmod(F.xxhash64(unique_id), shards_of(counts))
 
-    def every_shard(counts: np.ndarray) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), shards_of(counts) - F.lit(1)))
+        def every_shard(counts: np.ndarray) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), shards_of(counts) - F.lit(1)))
 
-    left = (
-        routed.select("query_id", "unit", F.explode("cells").alias("cell"))
-        .withColumn("query_shard", own_shard("query_id", query_shards))
-        .withColumn("index_shard", every_shard(index_shards))
-    )
-    right = (
-        placed.withColumn("index_shard", own_shard("id", index_shards))
-        .withColumn("query_shard", every_shard(query_shards))
-        .select("cell", "index_shard", "query_shard", "id", "unit")
-    )
+        left = (
+            routed.select("query_id", "unit", F.explode("cells").alias("cell"))
+            .withColumn("query_shard", own_shard("query_id", query_shards))
+            .withColumn("index_shard", every_shard(index_shards))
+        )
+        # Cells that no query visits are not shuffled.
+        visited = [int(c) for c in loads["cell"]]
+        right = (
+            self.placed.filter(F.col("cell").isin(visited))
+            .withColumn("index_shard", own_shard("id", index_shards))
+            .withColumn("query_shard", every_shard(query_shards))
+            .select("cell", "index_shard", "query_shard", "id", "unit")
+        )
 
-    def search(queries_part: pd.DataFrame, index_part: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries_part) or not len(index_part):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        index_part = index_part.sort_values("id", kind="stable")
-        return _best(
-            queries_part["query_id"].to_numpy(),
-            np.vstack(queries_part["unit"].to_numpy()),
-            index_part["id"].to_numpy(dtype=object),
-            np.vstack(index_part["unit"].to_numpy()),
-            k,
+        def compare(queries_part: pd.DataFrame, index_part: pd.DataFrame) -> pd.DataFrame:
+            index_part = index_part.sort_values("id", kind="stable")
+            query_ids = queries_part["query_id"].to_numpy()
+            ids = index_part["id"].to_numpy(dtype=object)
+            if not len(query_ids) or not len(ids):
+                none = np.zeros(0)
+                return pd.DataFrame({"query_id": query_ids[:0], "id": ids[:0], "similarity": none})
+            units = [np.vstack(p["unit"].to_numpy()) for p in (queries_part, index_part)]
+            return _best(query_ids, units[0], ids, units[1], k)
+
+        task = ["cell", "index_shard", "query_shard"]
+        return (
+            left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(compare, schema)
         )
 
-    task = ["cell", "index_shard", "query_shard"]
-    return (
-        left.groupBy(*task)
-        .cogroup(right.groupBy(*task))
-        .applyInPandas(search, _matches_schema(queries))
-    )
+
+def _search_cells(
+    queries: DataFrame,
+    candidates: DataFrame,
+    k: int,
+    min_similarity: float | None,
+    settings: Settings,
+) -> DataFrame:
+    cells = Cells(candidates, k, min_similarity, settings)
+    schema = _matches_schema(queries)
+    home = durable(cells.at_home(queries))
+    found = durable(cells.search(home, schema))
+    rest = durable(cells.elsewhere(home, found))
+    return found.unionByName(cells.search(rest, schema))
 
 
 # --- verdict and upsert -----------------------------------------------------------------

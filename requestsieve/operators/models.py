@@ -6,7 +6,7 @@ distinct prompts (one column, `prompt`) to (prompt, response), typically a `mapI
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from requestsieve.functions.verdicts import (
@@ -18,6 +18,7 @@ from requestsieve.functions.verdicts import (
     with_model_verdict,
 )
 from requestsieve.operators.distinct import per_distinct
+from requestsieve.session import durable
 from requestsieve.settings import DEFAULTS, Settings
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -32,15 +33,15 @@ def score_distinct_prompts(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return per_distinct(rows, "prompt", scorer)
 
 
-def _ask(rows: DataFrame, model: Model, asks: Column, name: str) -> DataFrame:
-    """Add the model's text as column `name` where `asks` holds."""
+def _ask(rows: DataFrame, model: Model, name: str) -> DataFrame:
+    """Add the model's text about each of the rows as column `name`."""
     if isinstance(model, DataFrame):
-        # One answer for each request, the least text, so that no row is multiplied.
-        answers = model.groupBy("request_id").agg(F.min("response").alias(name))
-        return rows.join(answers, "request_id", "left").withColumn(
-            name, F.when(asks, F.col(name))
-        )
-    prompted = rows.withColumn("prompt", F.when(asks, build_prompt()))
+        # Answers to other requests are left out before anything is grouped; then one answer for
+        # each request, the least text, so that no row is multiplied.
+        asked = model.join(rows.select("request_id"), "request_id", "left_semi")
+        answers = asked.groupBy("request_id").agg(F.min("response").alias(name))
+        return rows.join(answers, "request_id", "left")
+    prompted = rows.withColumn("prompt", build_prompt())
     return score_distinct_prompts(prompted, model).drop("prompt").withColumnRenamed(
         "response", name
     )
@@ -48,24 +49,30 @@ def _ask(rows: DataFrame, model: Model, asks: Column, name: str) -> DataFrame:
 
 def model_verdicts(
     rows: DataFrame,
-    unresolved: Column,
     primary: Model,
     secondary: Model | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Add `ai`, a verdict where `unresolved` holds and NULL elsewhere.
+    """Add `ai`, the models' verdict, to rows that no earlier stage has decided.
 
-    The second model, if there is one, sees only rows the first is unsure about.
+    The second model, if there is one, sees only rows the first is unsure about; these are
+    divided from the rest, so its answers are joined with no others. `rows` is read more than
+    once and should be materialised.
     """
-    rows = _ask(rows, primary, unresolved, "_primary_text")
-    rows = with_model_verdict(rows, "_primary_text", "ai", PRIMARY_UNAVAILABLE, unresolved)
-    if secondary is not None:
-        unsure = F.coalesce(is_low_confidence(F.col("ai.score"), settings), F.lit(False))
-        rows = _ask(rows, secondary, unsure, "_secondary_text")
-        rows = with_model_verdict(
-            rows, "_secondary_text", "_second", SECONDARY_UNAVAILABLE, unsure
-        ).withColumn("ai", escalated(F.col("ai"), F.col("_second"), settings))
-    return rows.drop("_primary_text", "_secondary_text", "_second")
+    asked = with_model_verdict(
+        _ask(rows, primary, "_primary_text"), "_primary_text", "ai", PRIMARY_UNAVAILABLE
+    ).drop("_primary_text")
+    if secondary is None:
+        return asked
+    asked = durable(asked)
+    unsure = F.coalesce(is_low_confidence(F.col("ai.score"), settings), F.lit(False))
+    again = with_model_verdict(
+        _ask(asked.filter(unsure), secondary, "_secondary_text"),
+        "_secondary_text",
+        "_second",
+        SECONDARY_UNAVAILABLE,
+    ).withColumn("ai", escalated(F.col("ai"), F.col("_second"), settings))
+    return asked.filter(~unsure).unionByName(again.drop("_secondary_text", "_second"))
 
 
 def normalize_responses(

@@ -95,6 +95,22 @@ raw_full AS (
 )
 
 
+SIGNALS = """
+SELECT request_id, ts_ms,
+  coalesce(nullif(h_ip, ''), nullif(h_xff, ''), '0.0.0.0') AS ip,
+  coalesce(nullif(cf_country, ''), nullif(h_country, ''), 'XX') AS country,
+  concat_ws(', ', h_agent, h_agent2) AS user_agent, path,
+  coalesce(h_lang, '') <> '' AS has_accept_lang, coalesce(h_referer, '') <> '' AS has_referer,
+  coalesce(cf_tls_version, '') <> '' AS has_tls,
+  concat_ws(',', CASE WHEN h_lang IS NOT NULL THEN 'accept-language' END,
+    CASE WHEN h_ip IS NOT NULL THEN 'cf-connecting-ip' END,
+    CASE WHEN h_country IS NOT NULL THEN 'cf-ipcountry' END,
+    CASE WHEN h_referer IS NOT NULL THEN 'referer' END,
+    CASE WHEN h_agent IS NOT NULL OR h_agent2 IS NOT NULL THEN 'user-agent' END,
+    CASE WHEN h_xff IS NOT NULL THEN 'x-forwarded-for' END) AS header_keys
+FROM raw_full"""
+
+
 def _responses(name: str, selector: str) -> str:
     cases = " ".join(f"WHEN {n} THEN {_text(a)}" for n, a in enumerate(ANSWERS))
     return (
@@ -232,11 +248,14 @@ vector_hits AS (
 )"""
 
 
-def _classified(source: str) -> str:
+BY_KEY = "v.query_id = s.request_id % (SELECT count(*) FROM embeddings)"
+
+
+def _classified(source: str, vectors: str = VECTORS, matched: str = BY_KEY) -> str:
     return (
-        f"{NORMAL1}, {NORMAL2}, {ESCALATED}, {VECTORS}, {_rated(source)}, {POINTS}, "
+        f"{NORMAL1}, {NORMAL2}, {ESCALATED}, {_rated(source)}, {POINTS}, {vectors}, "
         + _sessions("scored")
-        + """,
+        + f""",
 own AS (
   SELECT s.*, v.query_id IS NOT NULL AS by_vector,
     CASE WHEN v.query_id IS NOT NULL THEN v.score WHEN points >= 70 THEN points / 100.0
@@ -248,7 +267,7 @@ own AS (
       ELSE a.reason END AS own_reason
   FROM sessions s
   JOIN escalated a USING (request_id)
-  LEFT JOIN vector_hits v ON v.query_id = s.request_id % (SELECT count(*) FROM embeddings)
+  LEFT JOIN vector_hits v ON {matched}
 ),
 classified AS (
   SELECT request_id, ip, country, ts_ms, rate, hits, session_end,
@@ -261,6 +280,52 @@ classified AS (
     )
 
 
+def _yes(flag: str) -> str:
+    return f"CASE WHEN {flag} THEN 'true' ELSE 'false' END"
+
+
+def _signal_text(rate: str) -> str:
+    return f"""concat_ws(' | ', 'ua:' || user_agent, 'path:' || path,
+  'lang:' || {_yes("has_accept_lang")}, 'ref:' || {_yes("has_referer")},
+  'tls:' || {_yes("has_tls")}, 'rate:' || CAST({rate} AS VARCHAR), 'headers:' || header_keys)"""
+
+
+def _embedded(name: str, source: str) -> str:
+    """(text, place, n, length) of hashed token counts; `source` has distinct texts."""
+    return f"""
+{name}_counts AS (
+  SELECT text, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 384 AS place, count(*) AS n
+  FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM {source})
+  GROUP BY text, place
+),
+{name} AS (
+  SELECT *, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY text)) AS FLOAT) AS weight FROM {name}_counts
+)"""
+
+
+# Behaviour texts against those of known bots, as sparse vectors.
+TEXT_VECTORS = f"""
+asked AS (SELECT DISTINCT {_signal_text("rate")} AS text FROM scored),
+bots AS (SELECT DISTINCT {_signal_text("1")} AS text FROM requests_in WHERE user_agent = 'curl/8.5.0'),
+{_embedded("asked_vectors", "asked")},
+{_embedded("bot_vectors", "bots")},
+norms AS (
+  SELECT text, sqrt(sum(CAST(weight AS DOUBLE) * weight)) AS norm FROM (
+    SELECT * FROM asked_vectors UNION SELECT * FROM bot_vectors) GROUP BY text
+),
+compared AS (
+  SELECT a.text AS query_id, b.text AS id,
+    round(sum(CAST(a.weight AS DOUBLE) * b.weight) / any_value(p.norm * q.norm), 12) AS similarity
+  FROM asked_vectors a JOIN bot_vectors b USING (place)
+    JOIN norms p ON p.text = a.text JOIN norms q ON q.text = b.text
+  GROUP BY a.text, b.text
+),
+vector_hits AS (
+  SELECT query_id, max(similarity) AS score, '' AS reason
+  FROM compared GROUP BY query_id HAVING max(similarity) >= 0.92
+)"""
+
+
 CLASSIFY_COLUMNS = (
     "SELECT request_id, ip, rate, hits, round(score, 6) AS score, class, source, reason FROM classified"
 )
@@ -303,10 +368,6 @@ def _fixed(x: str, digits: int) -> str:
     )
 
 
-def _yes(flag: str) -> str:
-    return f"CASE WHEN {flag} THEN 'true' ELSE 'false' END"
-
-
 PROMPT = f"""
 prompts AS (
   SELECT request_id, concat_ws(chr(10),
@@ -352,20 +413,7 @@ SELECT 'ip_' || ip || '_' || CAST(ts_ms AS VARCHAR) AS id, ip, class, score, ts_
 FROM log_in JOIN blends ON query_id = request_id % (SELECT count(*) FROM embeddings)
 WHERE source = 'AI'
 QUALIFY row_number() OVER (PARTITION BY ip, ts_ms ORDER BY request_id DESC) = 1""",
-    "signals": f"""WITH {RAW}
-SELECT request_id, ts_ms,
-  coalesce(nullif(h_ip, ''), nullif(h_xff, ''), '0.0.0.0') AS ip,
-  coalesce(nullif(cf_country, ''), nullif(h_country, ''), 'XX') AS country,
-  concat_ws(', ', h_agent, h_agent2) AS user_agent, path,
-  coalesce(h_lang, '') <> '' AS has_accept_lang, coalesce(h_referer, '') <> '' AS has_referer,
-  coalesce(cf_tls_version, '') <> '' AS has_tls,
-  concat_ws(',', CASE WHEN h_lang IS NOT NULL THEN 'accept-language' END,
-    CASE WHEN h_ip IS NOT NULL THEN 'cf-connecting-ip' END,
-    CASE WHEN h_country IS NOT NULL THEN 'cf-ipcountry' END,
-    CASE WHEN h_referer IS NOT NULL THEN 'referer' END,
-    CASE WHEN h_agent IS NOT NULL OR h_agent2 IS NOT NULL THEN 'user-agent' END,
-    CASE WHEN h_xff IS NOT NULL THEN 'x-forwarded-for' END) AS header_keys
-FROM raw_full""",
+    "signals": f"WITH {RAW} {SIGNALS}",
     "minute_rate": f"WITH {DENSE_RATED} SELECT request_id, ip, minute, rate FROM rated",
     "window_counts": f"""WITH {DENSE}
 SELECT ip, ts_ms // 60000 AS minute, count(*) AS n FROM requests_dense GROUP BY ALL""",
@@ -394,11 +442,13 @@ SELECT ip, arg_min(score, hits) AS score, arg_min(class, hits) AS class,
   max(hits) AS hits, max(ts_ms) AS last_seen
 FROM sessions GROUP BY ip, session_no HAVING {NOW_MS} - max(ts_ms) < {TTL_MS}""",
     "signal_text": f"""WITH {DENSE_RATED}
-SELECT request_id, concat_ws(' | ', 'ua:' || user_agent, 'path:' || path,
-  'lang:' || {_yes("has_accept_lang")}, 'ref:' || {_yes("has_referer")},
-  'tls:' || {_yes("has_tls")}, 'rate:' || CAST(rate AS VARCHAR),
-  'headers:' || header_keys) AS signal_text
+SELECT request_id, {_signal_text("rate")} AS signal_text
 FROM rated""",
+    "embed_hashing": f"""WITH {DENSE_RATED},
+texts AS (SELECT DISTINCT {_signal_text("rate")} AS text FROM rated),
+{_embedded("vectors", "texts")}
+SELECT text AS signal_text, CAST(place AS INT) AS place, round(CAST(weight AS DOUBLE), 6) AS weight
+FROM vectors""",
     "fingerprint_topk": f"""WITH {VECTORS}
 SELECT query_id, id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank
 FROM ranked WHERE rank <= 3""",
@@ -494,9 +544,40 @@ SELECT CAST(hour AS VARCHAR) || ':00' AS hour, bot AS "Bot", legit AS "Legitimat
 SELECT country, bot AS "Bot", legit AS "Legitimate" FROM ({_by_country('ranged')})""",
 }
 
+# The search by cells is exact.
+ORACLES["fingerprint_cells"] = ORACLES["fingerprint_topk"]
+ORACLES["vector_verdict_cells"] = ORACLES["vector_verdict"]
+ORACLES["raw_to_decision"] = f"""WITH {REQUESTS_IN},
+{RAW.removeprefix(EVENTS + ",")},
+classifiable AS (
+  SELECT s.* FROM ({SIGNALS}) s JOIN raw_full r USING (request_id)
+  WHERE r.method <> 'OPTIONS' AND split_part(r.path, '?', 1) NOT IN ('/analytics', '/health')
+),
+{_classified("classifiable", TEXT_VECTORS, f"v.query_id = {_signal_text('s.rate')}")}
+SELECT request_id, ip, class, source, CASE WHEN class = 'BOT' THEN 'BLOCK' ELSE 'PASS' END AS action,
+  CASE WHEN class = 'BOT' THEN 403 ELSE 200 END AS status, {_fixed("score", 2)} AS score_text
+FROM classified"""
 # A stream must give what the batch gives.
+ORACLES["raw_to_decision_stream"] = ORACLES["raw_to_decision"]
 ORACLES["stream_sessions"] = f"""WITH {REQUESTS_IN}, {_rated("requests_in")}, {_sessions("rated")}
 SELECT request_id, ip, rate, session_start, hits, is_miss FROM sessions"""
 ORACLES["stream_classify"] = f"""WITH {REQUESTS_IN}, {_classified("requests_in")}
 SELECT request_id, ip, round(score, 6) AS score, class, source FROM classified"""
+ORACLES["classify_incremental"] = f"""WITH {DENSE}, {_classified("requests_dense")}
+SELECT request_id, ip, round(score, 6) AS score, class, source FROM classified"""
+ORACLES["incremental_entries"] = ORACLES["write_outputs"]
+# Requests that cannot be tracked neither count nor hold a session open.
+ORACLES["classify_dirty"] = f"""WITH {DENSE},
+dirty AS (
+  SELECT * REPLACE (
+    CASE WHEN request_id % 37 <> 0 THEN ip END AS ip,
+    CASE WHEN request_id % 41 <> 0 THEN ts_ms END AS ts_ms) FROM requests_dense
+),
+clean AS (SELECT * FROM dirty WHERE ip IS NOT NULL AND ts_ms IS NOT NULL),
+{_classified("clean")}
+SELECT request_id, round(score, 6) AS score, class, '' AS errors FROM classified
+UNION ALL
+SELECT request_id, NULL, NULL, concat_ws(',', CASE WHEN ip IS NULL THEN 'ip' END,
+  'score', 'class', 'source', CASE WHEN ts_ms IS NULL THEN 'timestamp' END)
+FROM dirty WHERE ip IS NULL OR ts_ms IS NULL"""
 ORACLES["stream_analytics"] = ORACLES["analytics_bundle"]

@@ -8,7 +8,7 @@
 """
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,6 @@ from requestsieve.operators.activity import (
 from requestsieve.operators.distinct import per_distinct
 from requestsieve.operators.fingerprints import (
     embed_hashing,
-    new_fingerprints,
     vector_verdicts,
     with_signal_text,
 )
@@ -35,15 +34,11 @@ from requestsieve.operators.models import Model, model_verdicts
 from requestsieve.operators.reputation import (
     SESSION_KEY,
     session_minutes,
-    sessions_of,
     slot_columns,
-    upsert_reputation,
     with_session_hits,
 )
 from requestsieve.session import durable
 from requestsieve.settings import DEFAULTS, Settings
-from requestsieve.sources.log import append_log
-from requestsieve.sources.stores import append_fingerprints, write_reputation
 
 
 @dataclass(frozen=True)
@@ -83,6 +78,7 @@ def vector_stage(
         )
         return embedded.join(found, key, "left") if fingerprints.keep_vectors else found
 
+    misses = durable(misses)  # read twice below
     if key == "signal_text":
         misses = with_signal_text(misses)
     return per_distinct(misses, key, verdict_per_key)
@@ -97,39 +93,61 @@ def resolve(
 ) -> DataFrame:
     """Add `verdict` to cache misses: fingerprint, then heuristics, then models.
 
-    Models are asked only about rows that the earlier stages leave open.
+    Rows that the first two stages leave open are divided from the decided ones, so models and
+    their stored answers meet open rows only.
     """
-    staged = vector_stage(misses, fingerprints, settings).withColumn(
-        "_points", heuristic_score(settings)
+    early = F.coalesce(
+        F.col("vector_verdict"),
+        heuristic_verdict(heuristic_score(settings), settings).cast(VERDICT_TYPE),
+    )
+    staged = durable(
+        vector_stage(misses, fingerprints, settings)
+        .withColumn("verdict", early)
+        .drop("vector_verdict")
+    )
+    open_rows = staged.filter("verdict IS NULL").drop("verdict")
+    answered = model_verdicts(open_rows, primary, secondary, settings)
+    return staged.filter("verdict IS NOT NULL").unionByName(
+        answered.withColumnRenamed("ai", "verdict")
     )
-    open_rows = F.col("vector_verdict").isNull() & (F.col("_points") < settings.bot_score)
-    answered = model_verdicts(staged, open_rows, primary, secondary, settings)
-    return answered.withColumn(
-        "verdict",
-        F.coalesce(
-            F.col("vector_verdict"),
-            heuristic_verdict(F.col("_points"), settings).cast(VERDICT_TYPE),
-            F.col("ai"),
-        ),
-    ).drop("vector_verdict", "_points", "ai")
 
 
 @dataclass(frozen=True)
 class Tracked:
-    """Requests with rate and session columns, and what it takes to join more per minute."""
+    """Requests with rate and session columns, and what it takes to join more per minute.
+
+    `entries` are what was remembered of their clients before, if anything was asked for.
+    """
 
     rows: DataFrame
     slots: DataFrame
     ranking: Ranking
+    entries: DataFrame | None = None
 
 
-def track(requests: DataFrame, settings: Settings = DEFAULTS) -> Tracked:
-    """Rates and sessions of the requests that have an ip and a time."""
+def track(
+    requests: DataFrame,
+    settings: Settings = DEFAULTS,
+    remembered: Callable[[DataFrame], DataFrame] | None = None,
+) -> Tracked:
+    """Rates and sessions of the requests that have an ip and a time.
+
+    `remembered` gives the stored entries of the clients (distinct `ip`) it is handed; rates,
+    sessions and hits go on from them.
+    """
     requests, _ = split_trackable(requests)
-    slots = durable(session_minutes(minute_activity(requests), settings))
+    minutes, entries = minute_activity(requests), None
+    if remembered is not None:
+        minutes = durable(minutes)
+        entries = durable(remembered(minutes.select("ip").distinct()))
+    slots = durable(session_minutes(minutes, settings, entries))
     ranking = spread_for_ranking(requests, slots, settings)
     rows = with_session_hits(rank_rows(ranking, slot_columns(slots)))
-    return Tracked(rows, slots, ranking)
+    return Tracked(rows, slots, ranking, entries)
+
+
+def misses_of(tracked: Tracked) -> DataFrame:
+    return drop_blocks(tracked.rows).filter("is_miss")
 
 
 def row_verdict(is_miss: Column, verdict: Column) -> dict[str, Column]:
@@ -170,49 +188,8 @@ def classify(
     without ip or time cannot be classified; `split_trackable` gives them.
     """
     tracked = track(requests, settings)
-    misses = durable(drop_blocks(tracked.rows).filter("is_miss"))
-    return carry_verdict(tracked, resolve(misses, primary, secondary, fingerprints, settings))
-
-
-def reputation_touches(classified: DataFrame) -> DataFrame:
-    """The cache entry each request writes: a fresh one on a miss, a touched one on a hit."""
-    return classified.select(
-        "ip", "score", "class", "hits", F.col("ts_ms").alias("last_seen")
-    )
-
-
-def write_outputs(
-    requests: DataFrame,
-    folder: str,
-    primary: Model,
-    secondary: Model | None = None,
-    fingerprints: Fingerprints = NO_FINGERPRINTS,
-    settings: Settings = DEFAULTS,
-) -> None:
-    """Classify and write `log`, `reputation` and `fingerprints` under a new `folder`.
-
-    Every row is logged and touches its client's entry; only model verdicts become
-    fingerprints. Misses are resolved once and kept for all three. Requests without ip or time
-    go to `rejected`, so logged and rejected rows together are the input.
-    """
-    _, rejected = split_trackable(requests)
-    rejected.write.mode("errorifexists").parquet(f"{folder}/rejected")
-    tracked = track(requests, settings)
-    storing = replace(fingerprints, keep_vectors=True)
-    misses = durable(drop_blocks(tracked.rows).filter("is_miss"))
-    misses = durable(resolve(misses, primary, secondary, storing, settings))
-    append_log(carry_verdict(tracked, misses), f"{folder}/log")
-
-    # A session's last touch is known per session, so the rows are not read again.
-    touches = (
-        sessions_of(tracked.slots)
-        .join(misses.select(*SESSION_KEY, "verdict.score", "verdict.class"), SESSION_KEY)
-        .select("ip", "score", "class", "hits", "last_seen")
-    )
-    write_reputation(upsert_reputation(None, touches), f"{folder}/reputation")
-
-    resolved = misses.select("*", "verdict.*").drop("verdict")
-    append_fingerprints(new_fingerprints(resolved), f"{folder}/fingerprints", batch_id=0)
+    resolved = resolve(misses_of(tracked), primary, secondary, fingerprints, settings)
+    return carry_verdict(tracked, resolved)
 
 
 def decisions(classified: DataFrame) -> DataFrame:

@@ -24,9 +24,10 @@ class Settings:
     queries_per_shard: int = 50_000
     # Cells the fingerprint space is divided into, beyond the broadcast size.
     pivots: int = 512
-    # Streamed verdicts are stored by the span of time their session started in. A live stream
-    # reads few spans per batch; a replay of old data should use longer ones.
-    verdict_span_ms: int = 3_600_000
+    # A client's entry is kept for this long after it has expired, for requests that arrive late.
+    most_late_ms: int = 86_400_000
+    # Batches between two snapshots of the clients' entries.
+    snapshot_every: int = 20
 
 
 DEFAULTS = Settings()

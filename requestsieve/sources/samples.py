@@ -46,11 +46,12 @@ def _event_ms(ts: Column) -> Column:
 def events_with_pages(events: DataFrame, pages: DataFrame) -> DataFrame:
     """Each event with the URL of one page; page ids run from 0, so they are dealt round.
 
-    The page count comes from the file footers.
+    The page count comes from the file footers. Where an id is missing, the event stays without
+    a URL.
     """
     page_count = pages.count()
     dealt = events.withColumn("page_id", F.col("event_id") % page_count)
-    return dealt.join(pages.select("page_id", "url"), "page_id")
+    return dealt.join(pages.select("page_id", "url"), "page_id", "left")
 
 
 def _agent(event_id: Column) -> Column:
@@ -162,6 +163,17 @@ def requests_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(requests_in(spark, sf_dir))
 
 
+def requests_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense requests, some without a client, some without a time, in live sessions."""
+    i = F.col("request_id")
+    return requests_dense(spark, sf_dir).withColumns(
+        {
+            "ip": F.when(i % 37 != 0, F.col("ip")),
+            "ts_ms": F.when(i % 41 != 0, F.col("ts_ms")),
+        }
+    )
+
+
 def responses(spark: SparkSession, sf_dir: str, secondary: bool = False) -> DataFrame:
     """Stored model answers, valid and malformed."""
     i = F.col("event_id")
@@ -222,12 +234,12 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     weight = F.get(F.lit([0.9, 0.72, 0.65, 0.5]), (F.col("vec_id") % 4).cast("int"))
     return (
-        vectors.join(following, "vec_id")
+        vectors.join(following, "vec_id", "left")
         .withColumn("w", weight)
         .select(
             F.col("vec_id").alias("query_id"),
             F.zip_with(
-                "own", "next", lambda a, b: F.col("w") * a + (1 - F.col("w")) * b
+                "own", F.coalesce("next", "own"), lambda a, b: F.col("w") * a + (1 - F.col("w")) * b
             ).alias("vector"),
         )
     )

@@ -1,158 +1,40 @@
 """Streaming jobs: classify into sinks, and keep analytics live.
 
-Each micro-batch writes its own `batch_id` partitions, so a batch that runs again after a
-failure replaces what it wrote before. Verdicts are written before anything is derived from
-them, so the log, the carried hits and the fingerprints of a batch always agree.
+Micro-batches run the batch cascade: what is remembered of clients is a table of entries, read as
+of the batch and written by it, so there is no state that a clock could expire, and a stream that
+was down or lags behind gives what the batch job gives. Requests that are older than what was
+already seen of their client are late: they are counted, and treated as hits, not dropped.
 """
 
-from dataclasses import replace
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from requestsieve.functions.signals import MINUTE_MS, minute_bucket
-from requestsieve.operators.fingerprints import new_fingerprints
+from requestsieve.operators.activity import drop_blocks
 from requestsieve.operators.models import Model
-from requestsieve.operators.reputation import SESSION_KEY
 from requestsieve.plans import analytics
-from requestsieve.plans.cascade import NO_FINGERPRINTS, Fingerprints, resolve, row_verdict
+from requestsieve.plans.cascade import Fingerprints
+from requestsieve.plans.outputs import Sinks, remember, run_batch, track_batch
 from requestsieve.settings import DEFAULTS, Settings
-from requestsieve.sources.log import STORED, append_log_batch, log_day, overwrite_batch
-from requestsieve.sources.stores import append_fingerprints
-from requestsieve.streaming.tracker import track_stream
-
-# Sessions of a batch started in few distinct spans. With more than this the spans are not
-# listed in the filter, and the whole verdict table is read instead.
-MAX_SPANS = 10_000
+from requestsieve.sources.batches import BatchTable
+from requestsieve.sources.clients import ClientStore
+from requestsieve.sources.log import GOOD, STORED
+from requestsieve.sources.tallies import Tallies
 
-VERDICTS = T.StructType(
+TRACKED = T.StructType(
     [
         T.StructField("request_id", T.LongType()),
         T.StructField("ip", T.StringType()),
+        T.StructField("ts_ms", T.LongType()),
+        T.StructField("minute", T.LongType()),
+        T.StructField("rate", T.LongType()),
         T.StructField("session_start", T.LongType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("class", T.StringType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("vector", T.ArrayType(T.FloatType())),
-        T.StructField("session_span", T.LongType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("hits", T.LongType()),
+        T.StructField("is_miss", T.BooleanType()),
     ]
 )
 
-TALLY_KEY = ["minute", "class", "source", "ip", "country"]
-
-
-def _span(session_start: Column, settings: Settings) -> Column:
-    return F.floor(session_start / settings.verdict_span_ms)
-
-
-def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Fingerprints of earlier batches; none before the first is written."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return stored.filter(F.col("batch_id") < batch_id)
-
-
-def _write_verdicts(
-    misses: DataFrame,
-    batch_id: int,
-    path: str,
-    primary: Model,
-    secondary: Model | None,
-    fingerprints: Fingerprints,
-    settings: Settings,
-) -> None:
-    resolved = resolve(
-        misses, primary, secondary, replace(fingerprints, keep_vectors=True), settings
-    )
-    overwrite_batch(
-        resolved.select(
-            "request_id",
-            *SESSION_KEY,
-            "country",
-            "verdict.*",
-            F.col("vector").cast("array<float>").alias("vector"),
-            _span(F.col("session_start"), settings).alias("session_span"),
-        ),
-        path,
-        batch_id,
-        "session_span",
-    )
-
-
-def _known_verdicts(
-    rows: DataFrame, path: str, batch_id: int, settings: Settings
-) -> DataFrame:
-    """One verdict per session, from the spans that sessions of this batch started in."""
-    known = (
-        rows.sparkSession.read.schema(VERDICTS)
-        .parquet(path)
-        .filter(F.col("batch_id") <= batch_id)
-    )
-    spans = rows.select(_span(F.col("session_start"), settings)).distinct()
-    listed = [row[0] for row in spans.limit(MAX_SPANS + 1).collect()]
-    if len(listed) <= MAX_SPANS:
-        known = known.filter(F.col("session_span").isin(listed))
-    value = F.struct("score", "class", "source", "reason")
-    return known.groupBy(*SESSION_KEY).agg(F.max_by(value, "batch_id").alias("verdict"))
-
-
-def classify_batch(
-    tracked: DataFrame,
-    batch_id: int,
-    folder: str,
-    primary: Model,
-    secondary: Model | None = None,
-    fingerprints: Fingerprints | None = None,
-    settings: Settings = DEFAULTS,
-) -> None:
-    """Classify one micro-batch of tracked rows and append to the sinks under `folder`.
-
-    Misses are matched with the index as it was before this batch, and resolved once. A hit
-    takes its session's verdict, of this batch or an earlier one. `fingerprints` None means
-    the index that this job itself builds up.
-    """
-    spark = tracked.sparkSession
-    index_path, verdict_path = f"{folder}/fingerprints", f"{folder}/verdicts"
-    if fingerprints is None:
-        fingerprints = replace(
-            NO_FINGERPRINTS, index=_stored_before(spark, index_path, batch_id)
-        )
-    rows = tracked.persist()
-    try:
-        _write_verdicts(
-            rows.filter("is_miss"),
-            batch_id,
-            verdict_path,
-            primary,
-            secondary,
-            fingerprints,
-            settings,
-        )
-        known = _known_verdicts(rows, verdict_path, batch_id, settings)
-        decided = rows.join(known, SESSION_KEY, "left").withColumns(
-            row_verdict(F.col("is_miss"), F.col("verdict"))
-        )
-        append_log_batch(decided, f"{folder}/log", batch_id)
-        own = (
-            spark.read.schema(VERDICTS)
-            .parquet(verdict_path)
-            .filter(F.col("batch_id") == batch_id)
-            .withColumn("ts_ms", F.col("session_start"))
-        )
-        append_fingerprints(new_fingerprints(own), index_path, batch_id)
-    finally:
-        rows.unpersist()
-
 
 def classify_stream(
     requests: DataFrame,
@@ -163,59 +45,87 @@ def classify_stream(
     fingerprints: Fingerprints | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataStreamWriter:
-    """Stream of signals -> log, verdicts and fingerprints. The caller sets the trigger.
+    """Stream of signals -> all sinks under `folder`. The caller sets the trigger.
 
     A table-backed model must hold the answers of the rows it will be asked about.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        classify_batch(batch, batch_id, folder, primary, secondary, fingerprints, settings)
+        sinks = Sinks.at(batch.sparkSession, folder, settings)
+        rows = batch.persist()
+        try:
+            run_batch(rows, batch_id, sinks, primary, secondary, fingerprints, settings)
+        finally:
+            rows.unpersist()
 
-    return (
-        track_stream(requests, settings)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(run)
-    )
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
 
-def drain(spark: SparkSession, writer: DataStreamWriter) -> None:
-    """Process all available input, then stop.
+def track_stream(
+    requests: DataFrame, folder: str, checkpoint: str, settings: Settings = DEFAULTS
+) -> DataStreamWriter:
+    """Stream of signals -> rates and sessions under `folder`, without verdicts.
 
-    State that times out by the processing clock asks for a further empty batch after every
-    batch, so an `availableNow` query would never end. A query keeps the settings it was
-    started with, so the change is for this one only; timeouts fire with the next input.
+    Requests without ip or time have neither; `split_trackable` gives them.
     """
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        query = writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(setting, before)
-    query.awaitTermination()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        clients = ClientStore(spark, f"{folder}/clients", settings)
+        rows = batch.persist()
+        try:
+            if batch_id and batch_id % settings.snapshot_every == 0:
+                clients.take_snapshot(batch_id - 1)
+            tracked = track_batch(rows, batch_id, clients, settings)
+            none = spark.createDataFrame([], "ip string, session_start long, score double, class string")
+            remember(tracked, none, batch_id, clients)
+            tracked_table(spark, folder).write(drop_blocks(tracked.rows), batch_id)
+        finally:
+            rows.unpersist()
+
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+
+
+def tracked_table(spark: SparkSession, folder: str) -> BatchTable:
+    return BatchTable(spark, f"{folder}/tracked", TRACKED)
+
+
+def drain(writer: DataStreamWriter) -> None:
+    """Process all available input, then stop."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 # --- live analytics ---------------------------------------------------------------------
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(STORED).parquet(path)
+    """The good rows of a log as they are appended, by batch; compacted folders hold nothing new.
+
+    A batch that is written again is seen again: where that may happen, take the tallies that the
+    cascade's own batches write.
+    """
+    stored = T.StructType([*STORED.fields, T.StructField("batch", T.StringType())])
+    rows = spark.readStream.schema(stored).parquet(path)
+    numbers = F.split("batch", "-")
+    single = F.get(numbers, 0) == F.get(numbers, 1)
+    return rows.filter(single & (F.col("kind") == GOOD)).drop("batch", "kind", "errors")
 
 
 def tally_stream(log: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Stream of log rows -> counts per minute, class, source, ip and country.
+    """Stream of log rows -> tallies under `path`, rolled up as they get older.
 
-    Counts of a batch are final rows of their own; readers add them up, so late rows need no
-    state and nothing is rewritten. `trigger(processingTime="5 seconds")` keeps a dashboard
-    fresh.
+    Late rows need no state: a batch counts what it has, and readers add up.
+    `trigger(processingTime="5 seconds")` keeps a dashboard fresh.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(
-            minute_bucket(F.col("ts_ms")).alias("minute"), *TALLY_KEY[1:]
-        ).agg(F.count(F.lit(1)).alias("n"))
-        day = log_day(F.col("minute") * MINUTE_MS)
-        overwrite_batch(counts.withColumn("dt", day), path, batch_id, "dt")
+        tallies = Tallies(batch.sparkSession, path)
+        tallies.compact(batch_id)
+        rows = batch.persist()
+        try:
+            tallies.add(rows, batch_id)
+        finally:
+            rows.unpersist()
 
     return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
@@ -225,21 +135,7 @@ def live_bundle(
 ) -> dict[str, DataFrame]:
     """Every view over streamed tallies, equal to the batch views for any `now_ms`.
 
-    Whole minutes come from the tallies, the minute that the range starts in from the log's own
-    rows (ts_ms filter, and one day where the log has `dt`), as do the newest rows.
+    Of the log only the rows before the first whole span of the range are read, and the newest.
     """
-    since = analytics.since_ms(hours, now_ms)
-    edge = since // MINUTE_MS
-    whole = spark.read.parquet(path).filter(
-        (F.col("dt") >= log_day(F.lit(since))) & (F.col("minute") > edge)
-    )
-    first = analytics.in_range(log, hours, now_ms).filter(F.col("ts_ms") < (edge + 1) * MINUTE_MS)
-    counts = (
-        first.withColumn("minute", minute_bucket(F.col("ts_ms")))
-        .groupBy(*TALLY_KEY)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    tallies = whole.select(*TALLY_KEY, "n").unionByName(counts)
-    hourly = tallies.withColumn("hour", F.floor(F.col("minute") / 60) % 24)
-    bots = tallies.filter(F.col("class") == "BOT")
-    return analytics.counting_views(hourly, bots) | {"recent": analytics.recent(log)}
+    counted, bots = Tallies(spark, path).read(log, analytics.since_ms(hours, now_ms))
+    return analytics.counting_views(counted, bots) | {"recent": analytics.recent(log)}

@@ -7,17 +7,23 @@ from conftest import plan_text
 from requestsieve.operators.activity import (
     live_windows,
     lookup_counts,
+    rank_rows,
     request_rate,
+    spread_for_ranking,
     window_counts,
 )
 from requestsieve.operators.reputation import (
     active_reputation,
     cache_sessions,
+    entries_after,
     reputation_sessions,
     upsert_reputation,
 )
+from requestsieve.plans.cascade import track
 from requestsieve.schemas import REPUTATION
+from requestsieve.session import durable
 from requestsieve.settings import Settings
+from requestsieve.sources.clients import ENTRY
 
 HOUR = 3_600_000
 # Small enough that the hot paths run on tests' data.
@@ -74,7 +80,7 @@ def test_hot_minutes_rank_like_ordinary_ones(signals):
     plain = request_rate(df).select(*columns)
     hot = request_rate(df, HOT).select(*columns)
     assert sorted(plain.collect()) == sorted(hot.collect())
-    assert "block_ms" in plan_text(hot) and "block_ms" not in plan_text(plain)
+    assert "block_id" in plan_text(hot) and "block_id" not in plan_text(plain)
 
 
 def test_wide_id_ranges_split_too(signals):
@@ -166,3 +172,70 @@ def test_hot_instant_with_ids_over_the_whole_range(spark):
     rows = spark.createDataFrame([(i, 1000, "a") for i in ids], "request_id long, ts_ms long, ip string")
     ranked = request_rate(rows, HOT).orderBy("request_id").collect()
     assert [r.rate for r in ranked] == list(range(1, len(ids) + 1))
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [range(1000), [k**3 for k in range(1000)], [0] * 999 + [2**62], [k // 250 for k in range(1000)]],
+    ids=["even", "steep", "one id", "few ids"],
+)
+def test_no_block_is_above_the_limit(spark, ids):
+    """Also where most requests share an instant and an id; they differ in something else."""
+    settings = Settings(hot_rows=100)
+    rows = [(int(i), 1000 + (k % 2), "a", f"agent {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "request_id long, ts_ms long, ip string, user_agent string")
+    counts = durable(window_counts(df))
+    ranking = spread_for_ranking(df, counts, settings)
+    sizes = [r["count"] for r in ranking.requests.groupBy(*ranking.keys).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
+    ranked = rank_rows(ranking).select("rate", "ts_ms", "request_id").collect()
+    assert sorted(r.rate for r in ranked) == list(range(1, 1001))
+    in_order = [(r.ts_ms, r.request_id) for r in sorted(ranked)]
+    assert in_order == sorted(in_order)
+
+
+def remembered(spark, rows):
+    return spark.createDataFrame(rows, ENTRY)
+
+
+def test_sessions_and_rates_go_on_from_what_is_remembered(spark, signals):
+    known = [
+        ("a", 0.9, "BOT", 7, 100_000, 50_000, [(1, 3, 200_000)]),
+        ("b", 0.1, "LEGITIMATE", 2, 100_000, 90_000, [(1, 5, 101_000)]),
+    ]
+    rows = [(1, 110_000, "a"), (2, 119_999, "a"), (3, 120_000, "a"), (4, 110_000, "b")]
+    rows += [(5, 100_000 + HOUR, "b"), (6, 5, "c")]
+    found = track(signals(rows), Settings(), lambda ips: remembered(spark, known))
+    got = {r.request_id: (r.rate, r.session_start, r.hits, r.is_miss) for r in found.rows.collect()}
+    assert got == {
+        1: (4, 50_000, 8, False),
+        2: (5, 50_000, 9, False),
+        3: (1, 50_000, 10, False),
+        # The window of b is over, though the session is not; then that is, too.
+        4: (1, 90_000, 3, False),
+        5: (1, 100_000 + HOUR, 1, True),
+        6: (1, 5, 1, True),
+    }
+    verdicts = spark.createDataFrame(
+        [("a", 50_000, 0.9, "BOT"), ("b", 100_000 + HOUR, 0.2, "BOT"), ("c", 5, 0.3, "SUSPICIOUS")],
+        "ip string, session_start long, score double, class string",
+    )
+    left = entries_after(found.slots, found.entries, verdicts).collect()
+    assert {r.ip: tuple(r)[1:6] for r in left} == {
+        "a": (0.9, "BOT", 10, 120_000, 50_000),
+        "b": (0.2, "BOT", 1, 100_000 + HOUR, 100_000 + HOUR),
+        "c": (0.3, "SUSPICIOUS", 1, 5, 5),
+    }
+    windows = {r.ip: [tuple(w) for w in r.windows] for r in left}
+    assert windows["a"] == [(1, 5, 200_000), (2, 1, 240_000)]
+    assert windows["b"] == [((100_000 + HOUR) // 60_000, 1, 100_000 + HOUR + 120_000)]
+
+
+def test_late_requests_neither_miss_nor_turn_time_back(spark, signals):
+    known = [("a", 0.9, "BOT", 1, 10 * HOUR, 10 * HOUR, [])]
+    rows = [(1, HOUR, "a"), (2, 2 * HOUR, "a")]
+    found = track(signals(rows), Settings(), lambda ips: remembered(spark, known))
+    assert [(r.is_miss, r.hits) for r in found.rows.orderBy("request_id").collect()] == [(False, 2), (False, 3)]
+    none = spark.createDataFrame([], "ip string, session_start long, score double, class string")
+    (left,) = entries_after(found.slots, found.entries, none).collect()
+    assert (left.last_seen, left.session_start, left.hits) == (10 * HOUR, 10 * HOUR, 3)

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from requestsieve.functions.verdicts import PRIMARY_UNAVAILABLE
 from requestsieve.operators.distinct import per_distinct
 from requestsieve.operators.fingerprints import embed_hashing, with_signal_text
-from requestsieve.plans import cascade
+from requestsieve.plans import cascade, outputs
 from requestsieve.schemas import FINGERPRINT
 from requestsieve.session import shared_folder
 from requestsieve.settings import Settings
-from requestsieve.sources.log import read_log
+from requestsieve.sources.log import read_log, read_rejected
 from requestsieve.sources.stores import read_fingerprints, read_reputation
 
 HOUR = 3_600_000
@@ -113,7 +113,7 @@ def test_models_see_only_open_rows(spark, signals):
 def test_hot_session_carries_one_verdict(spark, signals, settings):
     rows = [(k, 1000 + (k % 50) * 100, "hot") for k in range(200)] + [(500, 0, "cold")]
     found = cascade.classify(signals(rows), always(BOT), settings=settings)
-    assert "block_ms" not in found.columns
+    assert "block_id" not in found.columns
     counts = {(r.ip, r.source): r["count"] for r in found.groupBy("ip", "source").count().collect()}
     assert counts == {("hot", "AI"): 1, ("hot", "CACHE"): 199, ("cold", "AI"): 1}
     ranks = sorted(r.rate for r in found.filter("ip = 'hot'").collect())
@@ -186,7 +186,7 @@ def test_outputs(spark, signals):
     folder = shared_folder(spark, "test-outputs")
     curl = {"user_agent": "curl/8", "has_accept_lang": False}
     rows = signals([(1, 5, "a", curl), (2, 9, "a"), (3, 0, "b"), (4, 4 * HOUR, "b")])
-    cascade.write_outputs(rows, folder, answers(spark, [(3, SURE), (4, BOT)]))
+    outputs.write_outputs(rows, folder, answers(spark, [(3, SURE), (4, BOT)]))
     logged = read_log(spark, f"{folder}/log").collect()
     assert sorted((r.request_id, r.source, r["class"]) for r in logged) == [
         (1, "HEURISTIC", "BOT"),
@@ -209,11 +209,18 @@ def test_outputs(spark, signals):
 def test_rows_without_client_or_time_are_rejected(spark, signals):
     folder = shared_folder(spark, "test-rejected")
     rows = signals([(1, 5, "a"), (2, None, "a"), (3, 7, None), (4, None, None), (5, 9, "a")])
-    cascade.write_outputs(rows, folder, answers(spark, [(1, SURE), (1, BOT)]))
+    outputs.write_outputs(rows, folder, answers(spark, [(1, SURE), (1, BOT)]))
     logged = read_log(spark, f"{folder}/log").collect()
-    rejected = spark.read.parquet(f"{folder}/rejected").collect()
+    rejected = {r.request_id: r.errors for r in read_rejected(spark, f"{folder}/log").collect()}
     assert sorted(r.request_id for r in logged) == [1, 5]
-    assert sorted(r.request_id for r in rejected) == [2, 3, 4]
+    unknown = ["score", "class", "source"]
+    assert rejected == {
+        2: [*unknown, "timestamp"],
+        3: ["ip", *unknown],
+        4: ["ip", *unknown, "timestamp"],
+    }
+    counts = outputs.Sinks.at(spark, folder).batches.read().collect()
+    assert [tuple(r) for r in counts] == [(0, 5, 3, 1, 0)]
     assert sorted(by_id(cascade.classify(rows, answers(spark, [])))) == [1, 5]
 
 
@@ -229,3 +236,18 @@ def test_properties(spark, signals):
     for _, part in sessions:
         assert sorted(part["hits"]) == list(range(1, len(part) + 1))
     assert isinstance(found, pd.DataFrame)
+
+
+def test_models_meet_open_rows_only(spark, signals):
+    """Answers to decided requests are not grouped, and the second model's join has no others."""
+    curl = {"user_agent": "curl/8", "has_accept_lang": False}
+    rows = signals([(k, 0, f"ip{k}", curl if k % 4 else {}) for k in range(400)])
+    staged = cascade.misses_of(cascade.track(rows))
+    resolved = cascade.resolve(staged, answers(spark, [(k, SURE) for k in range(4000)]))
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    resolved.collect()
+    counted = plan_text(resolved)
+    assert "LeftSemi" in counted
+    sources = {r["source"]: r["count"] for r in resolved.groupBy("verdict.source").count().collect()}
+    assert sources == {"HEURISTIC": 300, "AI": 100}

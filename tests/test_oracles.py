@@ -1,10 +1,13 @@
 """Every query against its SQL equivalent in DuckDB."""
 
+import hashlib
+
 import duckdb
 import pytest
 from conftest import DATA
 
 from requestsieve.catalog import QUERIES
+from requestsieve.operators.fingerprints import embed_hashing
 from requestsieve.oracles import ORACLES
 
 SF_DIR = f"{DATA}/sf0.001"
@@ -37,15 +40,17 @@ def test_query_equals_sql(spark, duck, name):
     assert _comparable(expected) == _comparable(df.select(*columns).collect())
 
 
-def test_only_the_hashed_embedding_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"embed_hashing"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-def test_embedding_is_unit_length_and_deterministic(spark):
-    first = QUERIES["embed_hashing"](spark, SF_DIR).collect()
-    again = {r.signal_text: r.vector for r in QUERIES["embed_hashing"](spark, SF_DIR).collect()}
-    for row in first:
-        assert len(row.vector) == 384
-        assert sum(x * x for x in row.vector) == pytest.approx(1.0, abs=1e-5)
-        assert again[row.signal_text] == row.vector
+def test_embedding_is_unit_length_and_empty_texts_match_nothing(spark):
+    texts = [("ua:curl/8 | path:/A?b=1 | a a a",), ("",), (None,), ("- | é",)]
+    found = embed_hashing(spark.createDataFrame(texts, "signal_text string")).collect()
+    assert all(len(r.vector) == 384 for r in found)
+    norms = [sum(x * x for x in r.vector) for r in found]
+    assert norms == [pytest.approx(1.0, abs=1e-5), 0, 0, 0]
+    place = int(hashlib.md5(b"a").hexdigest()[:8], 16) % 384
+    # Four of the tokens are "a"; upper case does not matter.
+    counts = sorted(round(x / min(y for y in found[0].vector if y), 3) for x in found[0].vector if x)
+    assert found[0].vector[place] == max(found[0].vector) and counts[-1] == 4
