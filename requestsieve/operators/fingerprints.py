@@ -49,18 +49,32 @@ def embed_hashing(texts: DataFrame, column: str = "signal_text") -> DataFrame:
         return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % EMBEDDING_SIZE).cast("int")
 
     def counted(places: Column) -> Column:
-        used = F.array_distinct(places)
-        times = F.transform(used, lambda p: F.size(F.filter(places, lambda q: q == p)).cast("double"))
-        return F.map_from_arrays(used, times)
+        return F.transform(
+            F.sort_array(F.array_distinct(places)),
+            lambda p: F.struct(
+                p.alias("place"),
+                (F.size(places) - F.size(F.array_remove(places, p))).cast("double").alias("n"),
+            ),
+        )
 
     def length(counts: Column) -> Column:
-        return F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda total, n: total + n * n))
+        return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c["n"] * c["n"]))
+
+    def zeros(number: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), number)
 
     def unit(counts: Column, norm: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(EMBEDDING_SIZE - 1)),
-            lambda k: F.coalesce(F.try_divide(F.try_element_at(counts, k), norm), F.lit(0.0)).cast("float"),
-        )
+        """Each entry after the zeros between it and the one before, then zeros to the end."""
+
+        def place_of(entry: Column) -> Column:
+            return F.coalesce(entry["place"], F.lit(-1))
+
+        def run(entry: Column, k: Column) -> Column:
+            ahead = zeros(entry["place"] - place_of(F.get(counts, k - 1)) - 1)
+            return F.concat(ahead, F.array((entry["n"] / norm).cast("float")))
+
+        last = place_of(F.get(counts, F.size(counts) - 1))
+        return F.concat(F.flatten(F.transform(counts, run)), zeros(F.lit(EMBEDDING_SIZE - 1) - last))
 
     vector = _with(
         F.transform(tokens, place),
