@@ -113,6 +113,40 @@ def test_digest_index_keeps_earlier_batches(spark, docs):
     assert [(r.keep_id, r.group_size, r.kept) for r in again] == [(1, 2, True)]
 
 
+def verdicts(rows):
+    return Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+
+
+def test_ties_of_earlier_batches_are_not_rows_of_a_later_one(spark):
+    table = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    kept = index(spark)
+    exact_dedup.mark(table((1, "x"), (1, "x"), (2, "y"), (None, "n"), (None, "n")), kept).count()
+    # The earlier row stays; a larger id takes over; nulls stay where they were first.
+    found = exact_dedup.mark(table((1, "x"), (3, "y"), (3, "y"), (None, "n"), (9, "z")), kept)
+    assert verdicts(found) == Counter(
+        {(1, 1, 3, False): 1, (3, 3, 3, True): 1, (3, 3, 3, False): 1, (None, None, 3, False): 1, (9, 9, 1, True): 1}
+    )
+    left = exact_dedup.deduplicate(table((1, "x"), (4, "y"), (4, "y"), (0, "z"), (5, None)), kept)
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5]
+
+
+def test_an_index_keeps_its_buckets_and_knows_its_batches(spark):
+    rows = [(i, f"text {i % 50}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = shared_folder(spark, "index")
+    wanted = Counter((i, 50 + i % 50, 2, i >= 50) for i in range(100))
+    assert verdicts(exact_dedup.mark(docs, exact_dedup.DigestIndex(spark, path, 4), "first")) == wanted
+    again = exact_dedup.DigestIndex(spark, path, 8)
+    assert again.buckets == 4 and again.groups().count() == 50
+    # The job runs again: nothing is counted twice, and its verdicts are the same.
+    assert verdicts(exact_dedup.mark(docs, again, "first")) == wanted
+    assert again.groups().agg({"__rs_size": "sum"}).head()[0] == 100
+    more = spark.createDataFrame([(200, "text 7"), (201, "new")], "doc_id long, text string")
+    assert verdicts(exact_dedup.mark(more, again, "second")) == Counter(
+        {(200, 200, 3, True): 1, (201, 201, 1, True): 1}
+    )
+
+
 def reference_spans(text):
     out = []
     assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
