@@ -4,8 +4,10 @@ Records are ordered by (hash of the text, doc_id). A size-weighted sample of the
 quantile boundaries of many small ranges; ranges whose measured size is far above their share
 are sampled again and subdivided, so a text that holds a third of all rows is cut by doc_id.
 Every range is sorted in a task of its own, exact sizes of the ranges before it place its rows
-in the whole order, and each shard takes an equal stretch of bytes of that order: shards differ
-by less than two records. Copies of a text lie together unless a shard ends within them.
+in the whole order, and each shard takes an equal stretch of bytes of that order. A shard's end is
+moved to the edge of a group of equal texts, if the group is at most `GROUP_SHARE` of a shard, so
+such groups lie in one shard, and shards differ by little more than that share; larger groups are
+cut between records.
 """
 
 import json
@@ -14,10 +16,12 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from requestsieve.llm.common import running, whole_text, written
+from requestsieve.llm.common import lookup, running, whole_text, written
 
 LAW = "bytes"
 ROUNDS = 8
+# Of a shard's bytes; larger groups of equal texts may be cut.
+GROUP_SHARE = 0.02
 
 
 def records(docs: DataFrame, overhead: int = 8) -> DataFrame:
@@ -111,13 +115,18 @@ def splitters(rows: DataFrame, total: int, ranges: int, per_range: int) -> list[
 
 
 def assign(
-    docs: DataFrame, shards: int = 24, ranges: int | None = None, per_range: int = 64
+    docs: DataFrame,
+    shards: int = 24,
+    ranges: int | None = None,
+    per_range: int = 64,
+    group_share: float = GROUP_SHARE,
 ) -> DataFrame:
     """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
 
     Slots number the records of a shard from 0. Repeated rows are records of their own. A null
     doc_id sorts first. An empty table gives no rows. `ranges` defaults to sixteen for each
-    shard or four for each shuffle partition, if that is more; it changes no result.
+    shard or four for each shuffle partition, if that is more; it changes no result. Texts are
+    equal if their 64-bit hashes are.
     """
     spark = docs.sparkSession
     rows = written(records(docs), "records")
@@ -125,18 +134,34 @@ def assign(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or max(16 * shards, 4 * partitions)
     bounds = splitters(rows, total, ranges, per_range) if total else []
-    ordered = running(
-        rows.withColumn("__rs_range", range_of(bounds)),
-        [],
-        "__rs_range",
-        ["__rs_key", "__rs_id"],
-        "size",
+    ordered = written(
+        running(
+            rows.withColumn("__rs_range", range_of(bounds)),
+            [],
+            "__rs_range",
+            ["__rs_key", "__rs_id"],
+            "size",
+        ),
+        "ordered",
+    )
+    # Groups that stay whole: their copies lie together in the order, so one middle places all.
+    groups = written(
+        ordered.groupBy("__rs_key")
+        .agg(
+            F.count(F.lit(1)).alias("__rs_copies"),
+            F.sum("size").alias("__rs_group"),
+            F.min("__rs_start").alias("__rs_from"),
+        )
+        .filter((F.col("__rs_copies") > 1) & (F.col("__rs_group") <= group_share * total / shards)),
+        "groups",
+    )
+    grouped = lookup(
+        ordered, groups, "__rs_key", "__rs_copies", ["__rs_from", "__rs_group"], F.col("__rs_id")
     )
-    middle = (2 * F.col("__rs_start") + F.col("size")) * shards
+    start = F.coalesce("__rs_from", "__rs_start")
+    middle = (2 * start + F.coalesce("__rs_group", "size")) * shards
     placed = written(
-        ordered.withColumn(
-            "shard", F.floor(middle / F.lit(2 * max(total, 1))).cast("int")
-        ),
+        grouped.withColumn("shard", F.floor(middle / F.lit(2 * max(total, 1))).cast("int")),
         "shards",
     )
     firsts = placed.groupBy("shard").agg(F.min("__rs_rank").alias("__rs_first"))

@@ -356,6 +356,35 @@ def test_sharding_is_even_and_whole(spark):
         assert sorted(own["slot"]) == list(range(len(own)))
 
 
+def test_sharding_keeps_small_groups_whole(spark):
+    rng = np.random.default_rng(5)
+    texts = [f"text {k} " + "y" * int(rng.integers(0, 90)) for k in range(900)]
+    rows = [(i, texts[int(rng.integers(900))], "s", 7) for i in range(6000)]
+    rows += [(None, None, "s", 7), (None, "", None, 7), (6001, texts[0], "s", 7), (6001, texts[0], "s", 7)]
+    rows += [(10_000 + i, "hot text", "s", 7) for i in range(3000)] + [(20_000, "long " * 400, "s", 7)]
+    schema = "doc_id long, text string, source string, shard int"
+    table = spark.createDataFrame(rows, schema).repartition(5)
+    placed = sharding.assign(table).toPandas()
+    assert len(placed) == len(rows) and set(placed["shard"]) == set(range(24))
+    assert placed["doc_id"].isna().sum() == 2
+    sums = placed.groupby("shard")["size"].sum()
+    share = sums.sum() / 24
+    assert (sums - share).abs().max() <= 0.02 * share + 2 * placed["size"].max()
+    for _, own in placed.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    for crc, own in placed.groupby("text_crc32"):
+        if own["size"].sum() <= 0.02 * share:
+            assert own["shard"].nunique() == 1, crc
+    hot = placed[placed["text_crc32"] == zlib.crc32(b"hot text")]
+    assert hot["shard"].nunique() > 1
+    again = sharding.assign(table.repartition(3), per_range=16).toPandas()
+    order = ["doc_id", "text_crc32", "shard", "slot"]
+    assert sorted(map(str, placed[order].values.tolist())) == sorted(map(str, again[order].values.tolist()))
+    # Without it, a shard ends wherever its bytes do.
+    cut = sharding.assign(table, group_share=0.0).toPandas()
+    assert any(own["shard"].nunique() > 1 for _, own in cut.groupby("text_crc32") if len(own) < 20)
+
+
 def test_toxicity_learns_stems(spark):
     rng = np.random.default_rng(0)
     neutral = lambda: " ".join("n" + "".join(rng.choice(list("aeiklmrst"), 5)) for _ in range(60))
