@@ -204,7 +204,7 @@ def test_sessions_and_rates_go_on_from_what_is_remembered(spark, signals):
         ("b", 0.1, "LEGITIMATE", 2, 100_000, 90_000, [(1, 5, 101_000)]),
     ]
     rows = [(1, 110_000, "a"), (2, 119_999, "a"), (3, 120_000, "a"), (4, 110_000, "b")]
-    rows += [(5, 100_000 + HOUR, "b"), (6, 5, "c")]
+    rows += [(5, 110_000 + HOUR, "b"), (6, 5, "c")]
     found = track(signals(rows), Settings(), lambda ips: remembered(spark, known))
     got = {r.request_id: (r.rate, r.session_start, r.hits, r.is_miss) for r in found.rows.collect()}
     assert got == {
@@ -213,22 +213,22 @@ def test_sessions_and_rates_go_on_from_what_is_remembered(spark, signals):
         3: (1, 50_000, 10, False),
         # The window of b is over, though the session is not; then that is, too.
         4: (1, 90_000, 3, False),
-        5: (1, 100_000 + HOUR, 1, True),
+        5: (1, 110_000 + HOUR, 1, True),
         6: (1, 5, 1, True),
     }
     verdicts = spark.createDataFrame(
-        [("a", 50_000, 0.9, "BOT"), ("b", 100_000 + HOUR, 0.2, "BOT"), ("c", 5, 0.3, "SUSPICIOUS")],
+        [("a", 50_000, 0.9, "BOT"), ("b", 110_000 + HOUR, 0.2, "BOT"), ("c", 5, 0.3, "SUSPICIOUS")],
         "ip string, session_start long, score double, class string",
     )
     left = entries_after(found.slots, found.entries, verdicts).collect()
     assert {r.ip: tuple(r)[1:6] for r in left} == {
         "a": (0.9, "BOT", 10, 120_000, 50_000),
-        "b": (0.2, "BOT", 1, 100_000 + HOUR, 100_000 + HOUR),
+        "b": (0.2, "BOT", 1, 110_000 + HOUR, 110_000 + HOUR),
         "c": (0.3, "SUSPICIOUS", 1, 5, 5),
     }
     windows = {r.ip: [tuple(w) for w in r.windows] for r in left}
     assert windows["a"] == [(1, 5, 200_000), (2, 1, 240_000)]
-    assert windows["b"] == [((100_000 + HOUR) // 60_000, 1, 100_000 + HOUR + 120_000)]
+    assert windows["b"] == [((110_000 + HOUR) // 60_000, 1, 110_000 + HOUR + 120_000)]
 
 
 def test_late_requests_neither_miss_nor_turn_time_back(spark, signals):
