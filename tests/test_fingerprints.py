@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from requestsieve.operators.fingerprints import (
+    embed_hashing,
     fingerprint_topk,
     new_fingerprints,
     upsert_fingerprints,
@@ -107,6 +108,16 @@ def test_threshold_is_inclusive(spark, settings):
     assert found["reason"].endswith("(similarity: 0.920)")
 
 
+def test_texts_are_embedded_in_batches_of_arrays(spark):
+    texts = [("b", "Curl curl\u00e9 x"), (None, None), ("", "\u212a, K k")]
+    found = embed_hashing(spark.createDataFrame(texts, "other string, id string"), "id")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.other, sorted(w for w in r.vector if w)) for r in found.collect()]
+    one, two = (float(np.float32(n / math.sqrt(5))) for n in (1, 2))
+    assert rows == [("b", [one, two]), (None, []), ("", [1.0])]
+    assert all(len(r.vector) == 384 for r in found.collect())
+
+
 def test_only_model_verdicts_become_fingerprints(spark):
     rows = spark.createDataFrame(
         [
