@@ -2,9 +2,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from requestsieve.operators.fingerprints import (
+    _bits,
+    _routed,
+    _shards,
     embed_hashing,
     fingerprint_topk,
     new_fingerprints,
@@ -108,6 +112,17 @@ def test_threshold_is_inclusive(spark, settings):
     assert found["reason"].endswith("(similarity: 0.920)")
 
 
+def test_queries_go_once_to_each_shard_of_their_cells():
+    first, parts = _shards(np.array([4, 0, 5, 25, 3, 3, 9]), 10)
+    assert list(zip(first.tolist(), parts.tolist(), strict=True)) == [
+        (0, 1), (0, 1), (0, 1), (1, 3), (4, 1), (4, 1), (5, 1)
+    ]
+    needed = np.array([[1, 1, 1, 0, 0, 0, 0], [0, 0, 1, 1, 1, 1, 0], [0, 0, 0, 0, 0, 0, 1]], dtype=bool)
+    routed = _routed(pa.array([7, 8, 9]), np.eye(3), needed, first, parts)
+    assert routed.column("shards").to_pylist() == [[0], [0, 1, 2, 3, 4], [5]]
+    assert (_bits(routed.column("cells"), 7) == needed).all()
+
+
 def test_texts_are_embedded_in_batches_of_arrays(spark):
     texts = [("b", "Curl curl\u00e9 x"), (None, None), ("", "\u212a, K k")]
     found = embed_hashing(spark.createDataFrame(texts, "other string, id string"), "id")
