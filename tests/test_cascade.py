@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from requestsieve.functions.verdicts import PRIMARY_UNAVAILABLE
 from requestsieve.operators.distinct import per_distinct
-from requestsieve.operators.fingerprints import embed_hashing, with_signal_text
+from requestsieve.operators.fingerprints import embed_hashing, vector_verdicts, with_signal_text
 from requestsieve.plans import cascade, outputs
 from requestsieve.schemas import FINGERPRINT
 from requestsieve.session import shared_folder
@@ -251,3 +251,39 @@ def test_models_meet_open_rows_only(spark, signals):
     assert "LeftSemi" in counted
     sources = {r["source"]: r["count"] for r in resolved.groupBy("verdict.source").count().collect()}
     assert sources == {"HEURISTIC": 300, "AI": 100}
+
+
+def test_equal_vectors_are_searched_once_and_kept_for_model_verdicts_only(spark, signals, monkeypatch):
+    rows = [(k, k * 10, f"ip{k}", {"path": f"/{k}"}) for k in range(12)] + [(99, 0, "z", {"user_agent": "curl/8"})]
+    asked = []
+
+    def watch(queries, index, settings):
+        asked.append(queries.count())
+        return vector_verdicts(queries, index, settings)
+
+    monkeypatch.setattr(cascade, "vector_verdicts", watch)
+    index = spark.createDataFrame([("f", [0.0, 1.0], "BOT")], "id string, values array<float>, class string")
+    prints = cascade.Fingerprints(
+        index,
+        embed=lambda keys: keys.withColumn("vector", F.array(F.lit(1.0), F.when(F.col("signal_text").contains("curl"), 9.0).otherwise(0.0))),
+        keep_vectors=True,
+    )
+    misses = cascade.misses_of(cascade.track(signals(rows)))
+    resolved = cascade.resolve(misses, answers(spark, [(k, SURE) for k in range(12)]), None, prints).collect()
+    assert asked == [2]
+    assert {r.request_id: (r.verdict["source"], r.vector) for r in resolved} == {
+        k: ("AI", [1.0, 0.0]) for k in range(12)
+    } | {99: ("VECTOR", None)}
+
+
+def test_batches_read_their_requests_from_one_table(spark, tmp_path, monkeypatch):
+    from requestsieve import catalog
+
+    plans = []
+    monkeypatch.setattr(catalog.outputs, "run_batch", lambda rows, *rest: plans.append(plan_text(rows)))
+    monkeypatch.setattr(catalog, "sample_fingerprints", lambda *_: None)
+    monkeypatch.setattr(catalog.samples, "responses", lambda *_, **__: None)
+    left = spark.createDataFrame([(k, k * 10) for k in range(9)], "request_id long, ts_ms long")
+    rows = left.join(left.withColumnRenamed("ts_ms", "other").hint("merge"), "request_id")
+    catalog._in_batches(spark, "", rows, [30], str(tmp_path))
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
