@@ -287,3 +287,14 @@ def test_batches_read_their_requests_from_one_table(spark, tmp_path, monkeypatch
     rows = left.join(left.withColumnRenamed("ts_ms", "other").hint("merge"), "request_id")
     catalog._in_batches(spark, "", rows, [30], str(tmp_path))
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_a_key_with_several_vectors_has_its_best_match(spark, signals):
+    misses = cascade.misses_of(cascade.track(signals([(1, 0, "a")])))
+    index = spark.createDataFrame(
+        [("f", [0.0, 1.0], "BOT"), ("g", [0.2, 1.0], "BOT")], "id string, values array<float>, class string"
+    )
+    two = F.explode(F.array(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(0.1), F.lit(1.0))))
+    prints = cascade.Fingerprints(index, embed=lambda keys: keys.withColumn("vector", two))
+    resolved = cascade.resolve(misses, answers(spark, []), None, prints).collect()
+    assert [(r.request_id, r.verdict["score"]) for r in resolved] == [(1, 1.0)]
