@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from requestsieve.operators import fingerprints
 from requestsieve.operators.fingerprints import (
+    _Found,
     _bits,
     _routed,
     _shards,
@@ -123,6 +125,84 @@ def test_queries_go_once_to_each_shard_of_their_cells():
     assert (_bits(routed.column("cells"), 7) == needed).all()
 
 
+def test_search_by_cells_stores_no_pairs(spark, monkeypatch):
+    """Neither queries nor vectors of the index are copied for each other, and matches are few."""
+    stored, plans, durable = [], [], fingerprints.durable
+
+    def watch(rows):
+        kept = durable(rows)
+        stored.append(kept.count())
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return kept
+
+    monkeypatch.setattr(fingerprints, "durable", watch)
+    vectors = clustered(240, 12, seed=8)
+    index = [(f"{n:04d}", v, "BOT") for n, v in enumerate(vectors)]
+    queries = list(enumerate(clustered(90, 12, seed=9)))
+    assert searched(spark, queries, index, 3, None, CELLS) == brute_force(queries, index, 3)
+    assert max(stored) <= max(len(index), 3 * len(queries))
+    search = plans[-1]
+    assert "CartesianProduct" in search
+    assert not any(word in search for word in ("Exchange", "Generate", "CoGroup"))
+
+
+@pytest.mark.parametrize("settings", [Settings(), CELLS], ids=["broadcast", "cells"])
+def test_similarities_closer_than_single_precision(spark, settings):
+    index = [(f"{500 - n:04d}", [1.0, n * 1e-5, 0.0], "BOT") for n in range(1, 400)]
+    index += [(f"{n:04d}", [0.0, 1.0, n * 1e-3], "BOT") for n in range(600, 640)]
+    queries = [(n, [1.0, n * 1e-5 + 2e-6, 1e-7]) for n in range(0, 400, 7)]
+    expected = {(q, r): i for q, r, i in exact_order(queries, index, 3)}
+    found = searched(spark, queries, index, 3, None, settings)
+    assert {key: row[0] for key, row in found.items()} == expected
+
+
+def exact_order(queries, index, k):
+    """As the search ranks: by similarity of 12 decimals, then id."""
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    rows = [(i, unit(np.asarray(v, dtype=np.float32).astype(float))) for i, v, _ in index]
+    for query_id, q in queries:
+        scored = sorted((-round(float(unit(q) @ v), 12), i) for i, v in rows)
+        yield from ((query_id, rank, i) for rank, (_, i) in enumerate(scored[:k], 1))
+
+
+@pytest.mark.parametrize("settings", [Settings(), CELLS], ids=["broadcast", "cells"])
+def test_equal_vectors_in_many_shards_rank_by_id(spark, settings):
+    """A dense cell is cut into shards; ties between them go to the lowest ids."""
+    rng = random.Random(3)
+    index = [(f"{n:04d}", [1.0 * s, 2.0 * s, 3.0 * s], "BOT") for n, s in enumerate(rng.sample(range(1, 900), 80))]
+    index += [(f"{n:04d}", [-1.0, 0.0, float(n)], "BOT") for n in range(80, 90)]
+    found = searched(spark, [(n, [1.0, 2.0, 3.0]) for n in range(40)], index, 3, 0.9, settings)
+    assert found == {(n, r): (f"{r - 1:04d}", 1.0) for n in range(40) for r in (1, 2, 3)}
+
+
+def test_a_block_keeps_its_best_in_any_order():
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    units, index = unit(rng.normal(size=(30, 6))), unit(rng.normal(size=(50, 6)))
+    ids = pa.array([f"{n:02d}" for n in range(50)])
+    expected = [sorted((-round(s, 12), f"{n:02d}") for n, s in enumerate(row))[:4] for row in units @ index.T]
+    for order in (range(0, 50, 10), range(40, -10, -10)):
+        block = pa.RecordBatch.from_pylist(
+            [
+                {
+                    "query_ids": list(range(30)),
+                    "home": [0] * 30,
+                    "reached": [-1.0] * 30,
+                    "units": units.tobytes(),
+                    "needed": b"\xff" * 30,
+                }
+            ]
+        )
+        found = _Found(block, 4, 6)
+        for start in order:
+            of = slice(start, start + 10)
+            found.improve(np.arange(30), index[of], index[of].astype(np.float32), ids[of])
+        assert [
+            [(-s, i) for s, i in zip(*row, strict=True)]
+            for row in zip(found.similarity.tolist(), found.ids.tolist(), strict=True)
+        ] == expected
+
+
 def test_texts_are_embedded_in_batches_of_arrays(spark):
     texts = [("b", "Curl curl\u00e9 x"), (None, None), ("", "\u212a, K k")]
     found = embed_hashing(spark.createDataFrame(texts, "other string, id string"), "id")
